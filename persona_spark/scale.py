@@ -14,6 +14,11 @@ HEAVY_MIN_ROWS = 1_000_000
 ROWS_PER_SALT = 1_000_000
 
 
+def whole_div(c: Column, n: int) -> Column:
+    """Whole-number division without the detour over floating point."""
+    return F.call_function("div", c, F.lit(n).cast("bigint"))
+
+
 def fits_broadcast(df: DataFrame, max_rows: int | None = None, max_bytes: int | None = None) -> bool:
     """Whether `df` has at most `max_rows` rows and `max_bytes` bytes. Reads no more rows than that."""
     max_rows = BROADCAST_MAX_ROWS if max_rows is None else max_rows
