@@ -3,8 +3,8 @@
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from persona_spark.operators.store import fetch_by_ids, store_upsert
 
@@ -19,7 +19,7 @@ def read_json_store(spark: SparkSession, path: str, schema: StructType, multi_li
     cannot be parsed and files that vanish are passed over."""
     corrupt = "_corrupt"
     rows = (
-        spark.read.schema(StructType(schema.fields).add(corrupt, "string"))
+        spark.read.schema(StructType([*schema.fields, StructField(corrupt, StringType())]))
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", corrupt)
         .option("multiLine", str(multi_line).lower())
@@ -27,7 +27,7 @@ def read_json_store(spark: SparkSession, path: str, schema: StructType, multi_li
         .option("ignoreMissingFiles", "true")
         .json(path)
     )
-    return rows.where(F.col(corrupt).isNull()).drop(corrupt)
+    return rows.where(F.col(corrupt).isNull()).select(*schema.fieldNames())
 
 
 def store_read(store: DataFrame, ids: DataFrame | None = None) -> DataFrame:
@@ -52,42 +52,65 @@ def export_json(store: DataFrame, path: str, buckets: int = 64) -> None:
 
 
 class VersionedStore:
-    """A store that is replaced as a whole: each version is a new Parquet folder, and a version counts
-    once its number is appended to the list of commits. Readers keep the version they opened.
+    """A store in buckets of ids. An upsert writes the buckets it touches to a new folder and then
+    appends their places to the list of commits, which is what makes them count. Readers keep the
+    files they opened, nothing is overwritten, and a write that fails leaves no trace in the list.
 
     One writer at a time, as with the batches of one stream.
     """
 
-    def __init__(self, spark: SparkSession, root: str, schema: StructType):
-        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, root: str, schema: StructType, buckets: int = 64):
+        self.spark, self.root, self.schema, self.buckets = spark, root.rstrip("/"), schema, buckets
 
-    def _commits(self) -> DataFrame | None:
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("id"), F.lit(self.buckets)).cast("int")
+
+    def _places(self) -> dict[int, tuple[int, str]]:
+        """Bucket -> (version, folder); at most one entry per bucket."""
         try:
-            return self.spark.read.schema("version BIGINT, path STRING").parquet(f"{self.root}/commits")
+            commits = self.spark.read.schema("version BIGINT, bucket INT, path STRING").parquet(
+                f"{self.root}/commits"
+            )
         except AnalysisException as e:
             if e.getCondition() == "PATH_NOT_FOUND":
-                return None
+                return {}
             raise
+        newest = commits.groupBy("bucket").agg(F.max(F.struct("version", "path")).alias("c"))
+        return {r.bucket: (r.c.version, r.c.path) for r in newest.collect()}
 
-    def _current(self) -> tuple[int, str | None]:
-        commits = self._commits()
-        newest = commits and commits.agg(F.max(F.struct("version", "path")).alias("c")).first().c
-        return (newest.version, newest.path) if newest else (-1, None)
-
-    def read(self) -> DataFrame:
-        _, path = self._current()
-        if path is None:
+    def _read(self, paths: list[str]) -> DataFrame:
+        if not paths:
             return self.spark.createDataFrame([], self.schema)
-        return read_parquet_store(self.spark, path, self.schema)
-
-    def commit(self, table: DataFrame) -> None:
-        version, _ = self._current()
-        path = f"{self.root}/versions/{version + 1:09d}-{uuid.uuid4().hex}"
-        table.select(*self.schema.fieldNames()).write.parquet(path)
-        row = self.spark.range(1).select(
-            F.lit(version + 1).cast("bigint").alias("version"), F.lit(path).alias("path")
-        )
-        row.coalesce(1).write.mode("append").parquet(f"{self.root}/commits")
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+    def read(self, buckets: set[int] | None = None) -> DataFrame:
+        places = self._places()
+        return self._read([path for b, (_, path) in places.items() if buckets is None or b in buckets])
+
+    def touched(self, incoming: DataFrame) -> set[int]:
+        """The buckets a batch belongs to; no more than there are buckets."""
+        rows = incoming.where(F.col("id") != "").select(self._bucket().alias("b")).distinct().collect()
+        return {r.b for r in rows}
 
     def upsert(self, incoming: DataFrame, order: str = "ingest_pos") -> None:
-        self.commit(store_upsert(self.read(), incoming, order))
+        touched = self.touched(incoming)
+        if not touched:
+            return
+        places = self._places()
+        version = 1 + max((v for v, _ in places.values()), default=-1)
+        held = self._read([path for b, (_, path) in places.items() if b in touched])
+        folder = f"{self.root}/versions/{version:09d}-{uuid.uuid4().hex}"
+        (
+            store_upsert(held, incoming.select(*self.schema.fieldNames()), order)
+            .withColumn("id_bucket", self._bucket())
+            .repartition("id_bucket")
+            .write.partitionBy("id_bucket")
+            .parquet(folder)
+        )
+        commits = [(version, b, f"{folder}/id_bucket={b}") for b in sorted(touched)]
+        (
+            self.spark.createDataFrame(commits, "version BIGINT, bucket INT, path STRING")
+            .coalesce(1)
+            .write.mode("append")
+            .parquet(f"{self.root}/commits")
+        )

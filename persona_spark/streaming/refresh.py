@@ -15,7 +15,7 @@ def memory_store(spark: SparkSession, store_dir: str) -> VersionedStore:
     return VersionedStore(spark, store_dir, MEMORY)
 
 
-def refresh_batch(batch: DataFrame, in_dir: str, store: VersionedStore) -> None:
+def refresh_batch(batch: DataFrame, in_dir: str, store_dir: str) -> None:
     """Bring the dumps that a batch touches into the store.
 
     The responses of one dump may arrive in several batches, so the touched dumps are read again as
@@ -23,13 +23,15 @@ def refresh_batch(batch: DataFrame, in_dir: str, store: VersionedStore) -> None:
     older one, so replays and late dumps leave the store as a single batch would.
     """
     spark = batch.sparkSession
+    store = memory_store(spark, store_dir)
     touched = batch.select("dump_id").distinct()
     responses = lookup_join(
         read_responses(spark, in_dir), touched, ["dump_id"], "left_semi", spread=["response_no"]
     )
     pages, _ = object_split(page_responses(responses))
-    incoming = newer_than_store(store.read(), pages_to_memories(pages))
-    store.upsert(incoming)
+    memories = pages_to_memories(pages)
+    held = store.read(store.touched(memories))
+    store.upsert(newer_than_store(held, memories))
 
 
 def refresh_stream(
@@ -39,10 +41,9 @@ def refresh_stream(
     reader = spark.readStream.schema(RESPONSE)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    store = memory_store(spark, store_dir)
     return (
         reader.json(in_dir)
-        .writeStream.foreachBatch(lambda batch, _: refresh_batch(batch, in_dir, store))
+        .writeStream.foreachBatch(lambda batch, _: refresh_batch(batch, in_dir, store_dir))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
