@@ -309,7 +309,7 @@ WHERE persona_id NOT IN (SELECT persona_id FROM stored)""",
         "memories", "selection",
     ),
     "store_membership": with_views(
-        "SELECT id, pos, id IN (SELECT id FROM store_old) AS is_cached FROM selection", "selection", "store_old"
+        "SELECT DISTINCT id, id IN (SELECT id FROM store_old) AS is_cached FROM selection", "selection", "store_old"
     ),
     "store_stats": with_views(
         """SELECT persona_id, count(*) AS total_memories, sum(coalesce(strlen(content), 0))::BIGINT AS size_bytes,

@@ -42,7 +42,7 @@ HEADER_TEMPLATE = ChatTemplate(
 def render_chat(
     messages: Column, template: ChatTemplate = TURN_TEMPLATE, add_generation_prompt: bool = False
 ) -> Column:
-    """Messages (role, content) as one text, without a leading bos marker of the turn dialect."""
+    """Messages (role, content) as one text, without the bos marker of the turn dialect in front."""
 
     def body(m: Column) -> Column:
         return strip(m["content"]) if template.strip_content else m["content"]
@@ -64,20 +64,23 @@ def render_chat(
         rendered = F.transform(turns, lambda m, i: turn(m, F.when(i == 0, system).otherwise("")))
     else:
         rendered = F.transform(messages, lambda m: turn(m, F.lit("")))
-    text = F.concat(F.lit(template.bos), F.array_join(rendered, ""))
+    parts = [F.lit(template.bos.removeprefix(V.BOS)), F.array_join(rendered, "")]
     if add_generation_prompt:
-        text = F.concat(text, F.lit(template.opening("assistant")))
-    return F.regexp_replace(text, "^" + re.escape(V.BOS), "")
+        parts.append(F.lit(template.opening("assistant")))
+    return F.concat(*parts)
+
+
+def response_segments(text: Column, response_marker: str = V.TURN_MODEL) -> Column:
+    """The text cut at each response marker."""
+    return F.split(text, re.escape(response_marker))
 
 
 def supervised_spans(
-    text: Column,
-    instruction_marker: str = V.TURN_USER,
-    response_marker: str = V.TURN_MODEL,
+    segments: Column, instruction_marker: str = V.TURN_USER, response_marker: str = V.TURN_MODEL
 ) -> Column:
     """Character ranges (start inclusive, end exclusive, from 0) that a trainer learns from: after
-    each response marker up to the next instruction marker."""
-    segments = F.split(text, re.escape(response_marker))
+    each response marker up to the next instruction marker. `segments` is the text cut at the
+    response markers, best as a column of its own, since it is used several times."""
     marker = len(response_marker)
 
     def span(segment: Column, i: Column) -> Column:

@@ -4,14 +4,17 @@ from pyspark.sql import Column, functions as F
 
 from persona_spark.functions import values as V
 
-# Unicode white space plus the four ASCII separators, which JVM patterns leave out.
-_SPACE = r"[\s\x1c-\x1f]"
-_STRIP = rf"(?U)\A{_SPACE}++|(?<!{_SPACE}){_SPACE}++\z"
+# The characters that count as white space.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+_SPACES = r"(?U)[\s\x1c-\x1f]+"
 _NOT_SPACE = r"(?U)[^\s\x1c-\x1f]"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, _STRIP, "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def has_text(c: Column) -> Column:
@@ -39,9 +42,8 @@ def sanitize_name(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """White-space separated words; no words for a blank text."""
-    return F.when(has_text(c), F.split(strip(c), rf"(?U){_SPACE}+")).otherwise(
-        F.array().cast("array<string>")
-    )
+    parts = F.split(strip(c), _SPACES)
+    return F.when(has_text(c), parts).otherwise(F.array().cast("array<string>"))
 
 
 def hash_number(*parts: Column) -> Column:

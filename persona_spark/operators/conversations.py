@@ -98,9 +98,9 @@ def supervised_spans(
     instruction_marker: str = V.TURN_USER,
     response_marker: str = V.TURN_MODEL,
 ) -> DataFrame:
-    return examples.withColumn(
-        "spans", chat.supervised_spans(F.col("text"), instruction_marker, response_marker)
-    )
+    cut = examples.withColumn("_segments", chat.response_segments(F.col("text"), response_marker))
+    spans = chat.supervised_spans(F.col("_segments"), instruction_marker, response_marker)
+    return cut.withColumn("spans", spans).drop("_segments")
 
 
 def cap_length(

@@ -65,10 +65,9 @@ def log_tail(log_lines: DataFrame, n: int = V.LOG_TAIL_LINES, per_bucket: int =
         .where(F.col("_after") < n)
         .drop("_n")
     )
-    ends = stage_table(ends, "log-ends")
     from_end = Window.partitionBy("file", "_bucket").orderBy(F.desc("line_no"))
     return (
-        lookup_join(lines, ends, ["file", "_bucket"], spread=["line_no"])
+        lookup_join(lines, ends, ["file", "_bucket"], spread=["line_no"], stage=True)
         .withColumn("_from_end", F.row_number().over(from_end) + F.col("_after"))
         .where(F.col("_from_end") <= n)
         .drop("_bucket", "_after", "_from_end")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from persona_spark.operators.conversations import select_memories
 from persona_spark.scale import lookup_join
+from persona_spark.session import stage_table
 
 
 def latest_per_id(batch: DataFrame, order: str = "ingest_pos") -> DataFrame:
@@ -34,7 +35,7 @@ def newer_than_store(store: DataFrame, incoming: DataFrame, order: str = "ingest
     """The part of a batch that is not older than what the store holds."""
     held = store.select("id", F.col(order).alias("_held"))
     return (
-        lookup_join(incoming, held, ["id"], "left", spread=["id", order])
+        lookup_join(incoming, held, ["id"], "left", spread=["id", order], stage=True)
         .where(F.col("_held").isNull() | (F.col(order) >= F.col("_held")))
         .drop("_held")
     )
@@ -43,10 +44,13 @@ def newer_than_store(store: DataFrame, incoming: DataFrame, order: str = "ingest
 def resolve_selection(
     labels: DataFrame, choices: DataFrame, by: Sequence[str] = ("persona_id", "label"), require_match: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """Chosen labels as (ids, unmatched choices). `require_match` makes it an error if none matches."""
+    """Chosen labels as (ids, unmatched choices). A label counts once however often it is chosen.
+    `require_match` makes it an error if none matches."""
     by = list(by)
-    ids = lookup_join(choices, labels, by, "inner", spread=choices.columns)
-    unmatched = lookup_join(choices, labels.select(*by), by, "left_anti", spread=choices.columns)
+    labels = stage_table(labels.select(*by, "id"), "labels")
+    chosen = choices.select(*by).distinct()
+    ids = lookup_join(chosen, labels, by)
+    unmatched = lookup_join(chosen, labels.select(*by), by, "left_anti")
     if require_match and ids.isEmpty():
         raise ValueError("no chosen label belongs to a memory")
     return ids, unmatched
@@ -62,15 +66,14 @@ def fetch_by_ids(store: DataFrame, ids: DataFrame, ordered: bool = True) -> tupl
 def source_fallback(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     """Stored memories, and the fresh ones of each persona for which nothing is stored."""
     have = stored.select("persona_id").distinct()
-    return stored.unionByName(lookup_join(fresh, have, ["persona_id"], "left_anti", spread=["id"]))
+    return stored.unionByName(lookup_join(fresh, have, ["persona_id"], "left_anti", ["id"], stage=True))
 
 
 def store_membership(ids: DataFrame, store: DataFrame) -> DataFrame:
-    """Adds `is_cached` to every id."""
+    """(id, is_cached) for every id asked for, once each."""
     known = store.select("id").distinct().withColumn("_known", F.lit(True))
-    return lookup_join(ids, known, ["id"], "left", spread=ids.columns).withColumn(
-        "is_cached", F.coalesce("_known", F.lit(False))
-    ).drop("_known")
+    asked = lookup_join(ids.select("id").distinct(), known, ["id"], "left", stage=True)
+    return asked.select("id", F.coalesce("_known", F.lit(False)).alias("is_cached"))
 
 
 def stored_ids(store: DataFrame) -> DataFrame:

@@ -126,10 +126,10 @@ def training_schedule(
     plan = rows.groupBy(*group).agg(F.count("*").alias("_n"))
     plan = plan.withColumn("_steps", F.ceil(F.col("_n") / per_step))
     epochs = F.lit(num_epochs) if max_steps is None else F.ceil(F.lit(max_steps) / F.col("_steps"))
-    plan = stage_table(plan.withColumn("_epochs", epochs.cast("bigint")), "schedule-plan")
+    plan = plan.withColumn("_epochs", epochs.cast("bigint"))
 
     shuffled = (
-        lookup_join(rows, plan, group, spread=["id"])
+        lookup_join(rows, plan, group, spread=["id"], stage=True)
         .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_epochs") - 1)))
         .withColumn("_digest", F.md5(F.concat_ws(":", "id", "epoch", F.lit(str(seed)))))
         .withColumn("_bucket", F.substring("_digest", 1, HASH_DIGITS))
@@ -147,12 +147,12 @@ def training_schedule(
         # Only the buckets that reach into the steps wanted are needed at all.
         left = (F.lit(max_steps) - F.col("epoch") * F.col("_bucket_steps")) * per_step
         starts = starts.where(F.col("_start") < left)
-    starts = stage_table(starts.drop("_bucket_steps"), "schedule-starts")
+    starts = starts.drop("_bucket_steps")
 
     in_bucket = Window.partitionBy(*bucket).orderBy("_digest", "id")
     position = F.col("_start") + F.row_number().over(in_bucket) - 1
     steps = (
-        lookup_join(shuffled, starts, bucket, spread=["id"])
+        lookup_join(shuffled, starts, bucket, stage=True)
         .withColumn("_position", position)
         .withColumn("micro_batch", whole_div(F.col("_position"), batch_size))
         .withColumn("step", F.col("epoch") * F.col("_steps") + whole_div(F.col("_position"), per_step))

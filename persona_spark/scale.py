@@ -4,7 +4,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-BROADCAST_MAX_ROWS = 50_000
+from persona_spark.session import stage_table
+
+PROBE_MAX_ROWS = 50_000
+BROADCAST_MAX_ROWS = 1_000_000
 BROADCAST_MAX_BYTES = 64 << 20
 
 # A key is heavy when it owns more than this share of all rows, so there are at most 1,000 of them.
@@ -21,12 +24,22 @@ def whole_div(c: Column, n: int) -> Column:
 
 def fits_broadcast(df: DataFrame, max_rows: int | None = None, max_bytes: int | None = None) -> bool:
     """Whether `df` has at most `max_rows` rows and `max_bytes` bytes. Reads no more rows than that."""
-    max_rows = BROADCAST_MAX_ROWS if max_rows is None else max_rows
+    max_rows = PROBE_MAX_ROWS if max_rows is None else max_rows
     max_bytes = BROADCAST_MAX_BYTES if max_bytes is None else max_bytes
-    sizes = df.select(F.octet_length(F.to_json(F.struct("*"))).alias("b")).take(max_rows + 1)
+    sizes = df.select(_row_bytes().alias("b")).take(max_rows + 1)
     return len(sizes) <= max_rows and sum(r.b for r in sizes) <= max_bytes
 
 
+def staged_fits_broadcast(staged: DataFrame) -> bool:
+    """The same for a table that is written down: it is cheap to measure in full."""
+    size = staged.agg(F.count("*").alias("n"), F.sum(_row_bytes()).alias("b")).first()
+    return size.n <= BROADCAST_MAX_ROWS and (size.b or 0) <= BROADCAST_MAX_BYTES
+
+
+def _row_bytes() -> Column:
+    return F.octet_length(F.to_json(F.struct("*")))
+
+
 def heavy_keys(
     df: DataFrame, keys: Sequence[str], share: float = HEAVY_SHARE, min_rows: int | None = None
 ) -> dict[int, int]:
@@ -76,14 +89,18 @@ def lookup_join(
     on: Sequence[str],
     how: str = "inner",
     spread: Sequence[str] | None = None,
+    stage: bool = False,
 ) -> DataFrame:
     """Join a large left side with a lookup table: broadcast behind a size check, a shuffle beyond it.
 
     `spread` names left columns that tell rows of one key apart; with it the shuffle salts heavy
-    keys. Leave it out where the left keys are unique.
+    keys. Leave it out where the left keys are unique. `stage` writes the lookup table down first,
+    for narrow tables that take work to make: otherwise the size check makes them once more.
     """
     on = list(on)
-    if fits_broadcast(right):
+    if stage:
+        right = stage_table(right, "lookup")
+    if staged_fits_broadcast(right) if stage else fits_broadcast(right):
         return left.join(F.broadcast(right), on, how)
     heavy = heavy_keys(left, on) if spread else {}
     if heavy:

@@ -58,7 +58,7 @@ def page_responses(responses: DataFrame) -> DataFrame:
     A chain that lacks a response, or whose last response announces another one, gives nothing.
     """
     whole = lookup_join(
-        responses, complete_dumps(responses), ["dump_id"], "left_semi", spread=["response_no"]
+        responses, complete_dumps(responses), ["dump_id"], "left_semi", ["response_no"], stage=True
     )
     entry = whole.select(
         "dump_id", "persona_id", "response_no", F.posexplode("results").alias("_entry_no", "_page")

@@ -2,13 +2,15 @@
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from persona_spark.scale import lookup_join
+
 
 def log_read(spark: SparkSession, folder: str, glob: str = "*.log") -> DataFrame:
     """(file, line_no, line, modified) of all lines, numbered from 1.
 
     A file may be read in many splits. Rows carry a running number from the scan; the first one and
     the row count of each split give the number at which its lines start. Only these figures, one
-    row per split, are grouped by file; the lines themselves are not moved.
+    row per split, are grouped by file, and they are small enough to send to the lines.
     """
     scan = (
         spark.read.option("pathGlobFilter", glob)
@@ -28,6 +30,6 @@ def log_read(spark: SparkSession, folder: str, glob: str = "*.log") -> DataFrame
     starts = splits.select(
         "_path", "_block", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift")
     )
-    return scan.join(starts, ["_path", "_block"]).select(
+    return lookup_join(scan, starts, ["_path", "_block"], spread=["_no"], stage=True).select(
         "file", (F.col("_no") + F.col("_shift")).alias("line_no"), "line", "modified"
     )

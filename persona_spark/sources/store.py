@@ -45,7 +45,7 @@ def export_json(store: DataFrame, path: str, buckets: int = 64) -> None:
     bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
     (
         store.select(bucket.alias("id_bucket"), document.alias("value"))
-        .repartition("id_bucket")
+        .hint("rebalance", "id_bucket")
         .write.partitionBy("id_bucket")
         .text(path)
     )
@@ -103,7 +103,7 @@ class VersionedStore:
         (
             store_upsert(held, incoming.select(*self.schema.fieldNames()), order)
             .withColumn("id_bucket", self._bucket())
-            .repartition("id_bucket")
+            .hint("rebalance", "id_bucket")
             .write.partitionBy("id_bucket")
             .parquet(folder)
         )

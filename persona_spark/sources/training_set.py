@@ -4,20 +4,19 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def write_training_set(
-    examples: DataFrame, path: str, fmt: str = "parquet", buckets: int = 16, files_per_bucket: int = 4
+    examples: DataFrame, path: str, fmt: str = "parquet", buckets: int = 16
 ) -> None:
     """Examples as Parquet or JSON lines, in folders by a hash of the persona.
 
-    A folder is written by several tasks, told apart by a hash of the id, so that a persona with very
-    many examples is not written by one task.
+    Rebalancing gathers the rows of a folder and splits those that grow large, so that a persona
+    with very many examples is written by several tasks.
     """
     if fmt not in ("parquet", "json"):
         raise ValueError(f"format must be parquet or json, not {fmt}")
     bucket = F.pmod(F.xxhash64("persona_id"), F.lit(buckets)).cast("int")
-    share = F.pmod(F.xxhash64("id"), F.lit(files_per_bucket))
     (
         examples.withColumn("persona_bucket", bucket)
-        .repartition(F.col("persona_bucket"), share)
+        .hint("rebalance", "persona_bucket")
         .write.partitionBy("persona_bucket")
         .format(fmt)
         .save(path)

@@ -29,9 +29,12 @@ def refresh_batch(batch: DataFrame, in_dir: str, store_dir: str) -> None:
         read_responses(spark, in_dir), touched, ["dump_id"], "left_semi", spread=["response_no"]
     )
     pages, _ = object_split(page_responses(responses))
-    memories = pages_to_memories(pages)
-    held = store.read(store.touched(memories))
-    store.upsert(newer_than_store(held, memories))
+    memories = pages_to_memories(pages).persist()
+    try:
+        held = store.read(store.touched(memories))
+        store.upsert(newer_than_store(held, memories))
+    finally:
+        memories.unpersist()
 
 
 def refresh_stream(
