@@ -54,6 +54,7 @@ def pack_sequences(
     position: str = "ingest_pos",
     text: str = "text",
     tokenizer=words,
+    per_bucket: int = POSITIONS_PER_BUCKET,
 ) -> DataFrame:
     """Examples of a group put one after the other and cut into blocks of `max_len` tokens.
 
@@ -69,7 +70,7 @@ def pack_sequences(
         ),
         "lengths",
     )
-    places = running_offsets(lengths, keys, position).select("id", "offset", "n_tokens")
+    places = running_offsets(lengths, keys, position, per_bucket=per_bucket).select("id", "offset", "n_tokens")
     placed = examples.select(*keys, "id", position, text).join(places, "id")
     first = whole_div(F.col("offset"), max_len)
     last = whole_div(F.col("offset") + F.col("n_tokens") - 1, max_len)
@@ -119,18 +120,22 @@ def training_schedule(
     keys = list(keys)
     per_step = batch_size * accumulation
     rows = examples.select(*keys, "id")
-    group = keys
-    if not keys:
-        rows, group = rows.withColumn("_run", F.lit(0)), ["_run"]
 
-    plan = rows.groupBy(*group).agg(F.count("*").alias("_n"))
-    plan = plan.withColumn("_steps", F.ceil(F.col("_n") / per_step))
-    epochs = F.lit(num_epochs) if max_steps is None else F.ceil(F.lit(max_steps) / F.col("_steps"))
-    plan = plan.withColumn("_epochs", epochs.cast("bigint"))
+    def sized(df: DataFrame, n: Column) -> DataFrame:
+        steps = F.ceil(n / per_step)
+        epochs = F.lit(num_epochs) if max_steps is None else F.ceil(F.lit(max_steps) / steps)
+        return df.withColumns({"_steps": steps, "_epochs": epochs.cast("bigint")})
+
+    if keys:
+        group = keys
+        sizes = rows.groupBy(*group).agg(F.count("*").alias("_n"))
+        rows = lookup_join(rows, sized(sizes, F.col("_n")), group, spread=["id"], stage=True)
+    else:
+        group = ["_run"]
+        rows = sized(rows.withColumn("_run", F.lit(0)), F.lit(rows.count()))
 
     shuffled = (
-        lookup_join(rows, plan, group, spread=["id"], stage=True)
-        .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_epochs") - 1)))
+        rows.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_epochs") - 1)))
         .withColumn("_digest", F.md5(F.concat_ws(":", "id", "epoch", F.lit(str(seed)))))
         .withColumn("_bucket", F.substring("_digest", 1, HASH_DIGITS))
     )
