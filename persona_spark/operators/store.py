@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from persona_spark.operators.conversations import select_memories
-from persona_spark.scale import lookup_join
+from persona_spark.scale import fits_broadcast, lookup_join, shuffle_join
 from persona_spark.session import stage_table
 
 
@@ -33,7 +33,8 @@ def store_upsert(store: DataFrame, incoming: DataFrame, order: str = "ingest_pos
 
 def newer_than_store(store: DataFrame, incoming: DataFrame, order: str = "ingest_pos") -> DataFrame:
     """The part of a batch that is not older than what the store holds."""
-    held = store.select("id", F.col(order).alias("_held"))
+    ids = incoming.select("id").where(F.col("id") != "").distinct()
+    held = lookup_join(store.select("id", F.col(order).alias("_held")), ids, ["id"], "left_semi")
     return (
         lookup_join(incoming, held, ["id"], "left", spread=["id", order], stage=True)
         .where(F.col("_held").isNull() | (F.col(order) >= F.col("_held")))
@@ -44,25 +45,36 @@ def newer_than_store(store: DataFrame, incoming: DataFrame, order: str = "ingest
 def resolve_selection(
     labels: DataFrame, choices: DataFrame, by: Sequence[str] = ("persona_id", "label"), require_match: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """Chosen labels as (ids, unmatched choices). A label counts once however often it is chosen.
-    `require_match` makes it an error if none matches."""
+    """Chosen labels as (ids, unmatched choices). Labels are unique, and a label counts once however
+    often it is chosen. `require_match` makes it an error if none matches."""
     by = list(by)
-    labels = stage_table(labels.select(*by, "id"), "labels")
     chosen = choices.select(*by).distinct()
-    ids = lookup_join(chosen, labels, by)
-    unmatched = lookup_join(chosen, labels.select(*by), by, "left_anti")
+    ids = stage_table(lookup_join(labels.select(*by, "id"), chosen, by), "chosen-ids")
+    unmatched = lookup_join(chosen, ids.select(*by), by, "left_anti")
     if require_match and ids.isEmpty():
         raise ValueError("no chosen label belongs to a memory")
     return ids, unmatched
 
 
 def fetch_by_ids(store: DataFrame, ids: DataFrame, ordered: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(found, missing) for a request (id, pos): found rows in request order, repeats kept."""
-    found = lookup_join(ids, store, ["id"], "inner", spread=["id", "pos"])
-    missing = lookup_join(ids, store.select("id"), ["id"], "left_anti", spread=["id", "pos"])
+    """(found, missing) for a request (id, pos): found rows in request order, repeats kept.
+
+    A request that fits is sent to the store's rows, which then stay where they are.
+    """
+    if fits_broadcast(ids):
+        found = store.join(F.broadcast(ids), "id")
+    else:
+        found = shuffle_join(ids, store, ["id"], "inner", spread=["id", "pos"])
+    found = found.select("id", "pos", *[c for c in store.columns if c != "id"])
+    missing = lookup_join(ids, present_ids(store, ids), ["id"], "left_anti", ["id", "pos"], stage=True)
     return (found.orderBy("pos") if ordered else found), missing
 
 
+def present_ids(store: DataFrame, ids: DataFrame) -> DataFrame:
+    """Those of the ids that the store holds, once each."""
+    return lookup_join(store.select("id"), ids.select("id").distinct(), ["id"], "left_semi").distinct()
+
+
 def source_fallback(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     """Stored memories, and the fresh ones of each persona for which nothing is stored."""
     have = stored.select("persona_id").distinct()
@@ -71,7 +83,7 @@ def source_fallback(stored: DataFrame, fresh: DataFrame) -> DataFrame:
 
 def store_membership(ids: DataFrame, store: DataFrame) -> DataFrame:
     """(id, is_cached) for every id asked for, once each."""
-    known = store.select("id").distinct().withColumn("_known", F.lit(True))
+    known = present_ids(store, ids).withColumn("_known", F.lit(True))
     asked = lookup_join(ids.select("id").distinct(), known, ["id"], "left", stage=True)
     return asked.select("id", F.coalesce("_known", F.lit(False)).alias("is_cached"))
 

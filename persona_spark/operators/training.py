@@ -132,7 +132,7 @@ def training_schedule(
         rows = lookup_join(rows, sized(sizes, F.col("_n")), group, spread=["id"], stage=True)
     else:
         group = ["_run"]
-        rows = sized(rows.withColumn("_run", F.lit(0)), F.lit(rows.count()))
+        rows = sized(rows.withColumn("_run", F.lit(0)), F.lit(max(1, rows.count())))
 
     shuffled = (
         rows.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_epochs") - 1)))

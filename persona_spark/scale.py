@@ -102,6 +102,13 @@ def lookup_join(
         right = stage_table(right, "lookup")
     if staged_fits_broadcast(right) if stage else fits_broadcast(right):
         return left.join(F.broadcast(right), on, how)
+    return shuffle_join(left, right, on, how, spread)
+
+
+def shuffle_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str, spread: Sequence[str] | None = None
+) -> DataFrame:
+    """Join two large sides, with heavy keys of the left one salted if `spread` is given."""
     heavy = heavy_keys(left, on) if spread else {}
     if heavy:
         return salted_join(left, right, on, how, spread, heavy)

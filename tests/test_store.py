@@ -133,3 +133,18 @@ def test_newest_log(rows):
     lines = rows("file STRING, modified INT", ("a", 1), ("b", 5), ("a", 7), ("c", 5))
     assert [r.file for r in ranking.newest_log(lines).collect()] == ["a", "b", "c"]
     assert [r.file for r in ranking.newest_log(lines, 1).collect()] == ["a"]
+
+
+def test_large_requests_are_shuffled(spark, rows, monkeypatch):
+    from persona_spark import scale
+
+    held = spark.range(300).select(F.concat(F.lit("m"), "id").alias("id"), F.lit("t").alias("content"))
+    ids = spark.range(200).select(
+        F.when(F.col("id") % 2 == 0, "m7").otherwise(F.concat(F.lit("m"), F.col("id") * 3)).alias("id"), F.col("id").alias("pos")
+    )
+    small = [df.collect() for df in store.fetch_by_ids(held, ids)]
+    for name, value in (("PROBE_MAX_ROWS", 2), ("BROADCAST_MAX_ROWS", 2), ("HEAVY_MIN_ROWS", 20), ("ROWS_PER_SALT", 10)):
+        monkeypatch.setattr(scale, name, value)
+    large = [df.collect() for df in store.fetch_by_ids(held, ids)]
+    assert small[0] == large[0] and sorted(small[1]) == sorted(large[1])
+    assert len(small[0]) == 150 and len(small[1]) == 50
