@@ -228,7 +228,10 @@ def render_chat(t):
 @query
 def supervised_spans(t):
     examples = C.supervised_spans(build.build_training_set(t["memories"], t["personas"]))
-    spans = examples.select("id", "text", F.posexplode("spans").alias("span_no", "span"))
+    # The outer form: the plain one would add a filter on the size of the array, worked out twice.
+    spans = examples.select("id", "text", F.posexplode_outer("spans").alias("span_no", "span")).where(
+        F.col("span").isNotNull()
+    )
     start, end = F.col("span.start"), F.col("span.end")
     return spans.select(
         "id",

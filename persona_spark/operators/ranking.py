@@ -15,12 +15,14 @@ LINES_PER_BUCKET = 65_536
 def display_order(pages: DataFrame, by: Sequence[str] = ("persona_id",)) -> DataFrame:
     """(by, id, ingest_pos, display_rank): newest first, undated last, ties in order of arrival.
 
-    The keys are sorted once over all groups, so a group of any size is spread over many tasks. The
-    sorted keys are written down with a running number; the rank is that number less the one at
-    which the group starts in its part, plus the group's rows in earlier parts.
+    The keys are written down, as sorting reads them twice, and sorted once over all groups, so a
+    group of any size is spread over many tasks. The sorted keys get a running number; the rank is
+    that number less the one at which the group starts in its part, plus the group's rows in
+    earlier parts.
     """
     by = list(by)
-    keys = pages.select(*by, "id", "ingest_pos", P.created_instant(F.col("created_time")).alias("_at"))
+    at = P.created_instant(F.col("created_time")).alias("_at")
+    keys = stage_table(pages.select(*by, "id", "ingest_pos", at), "display-keys")
     ordered = stage_table(
         keys.orderBy(*by, F.desc_nulls_last("_at"), "ingest_pos", "id")
         .withColumn("_no", F.monotonically_increasing_id())

@@ -107,24 +107,28 @@ def training_schedule(
     num_epochs: int = 1,
     seed: int = V.SCHEDULE_SEED,
     keys: Sequence[str] = ("persona_id",),
+    per_bucket: int = POSITIONS_PER_BUCKET,
 ) -> DataFrame:
     """(keys, epoch, step, micro_batch, id): which example is seen when, for every key group.
 
     Each epoch runs through all examples in the order of md5(id:epoch:seed). A micro batch holds
     `batch_size` examples and a step `accumulation` micro batches, the last ones of an epoch perhaps
     fewer. `max_steps` counts over all epochs and decides how many there are; without it
-    `num_epochs` does. With no keys the whole table is one run.
+    `num_epochs` does. With no keys the whole table is one run. Groups of more than `per_bucket`
+    examples are placed in buckets of the leading hex digits of the hash.
     """
     if max_steps is not None and max_steps < 1:
         raise ValueError("max_steps must be at least 1")
     keys = list(keys)
     per_step = batch_size * accumulation
-    rows = examples.select(*keys, "id")
+    # Read three times below, so only the ids are, not what it takes to find the examples.
+    rows = stage_table(examples.select(*keys, "id"), "schedule-ids")
 
     def sized(df: DataFrame, n: Column) -> DataFrame:
         steps = F.ceil(n / per_step)
         epochs = F.lit(num_epochs) if max_steps is None else F.ceil(F.lit(max_steps) / steps)
-        return df.withColumns({"_steps": steps, "_epochs": epochs.cast("bigint")})
+        digits = F.when(n > per_bucket, HASH_DIGITS).otherwise(0)
+        return df.withColumns({"_steps": steps, "_epochs": epochs.cast("bigint"), "_digits": digits})
 
     if keys:
         group = keys
@@ -137,7 +141,7 @@ def training_schedule(
     shuffled = (
         rows.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_epochs") - 1)))
         .withColumn("_digest", F.md5(F.concat_ws(":", "id", "epoch", F.lit(str(seed)))))
-        .withColumn("_bucket", F.substring("_digest", 1, HASH_DIGITS))
+        .withColumn("_bucket", F.substring("_digest", F.lit(1), F.col("_digits")))
     )
     bucket = [*group, "epoch", "_bucket"]
     counts = shuffled.groupBy(*bucket).agg(

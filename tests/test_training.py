@@ -44,10 +44,11 @@ def plain_schedule(ids, batch, accum, max_steps, epochs, seed):
     return sorted(out)
 
 
+@pytest.mark.parametrize("per_bucket", [20, 65_536])
 @pytest.mark.parametrize("batch,accum,max_steps,epochs", [(2, 4, 7, 1), (1, 8, None, 2), (3, 2, 1, 1), (2, 4, 60, 1)])
-def test_schedule(spark, batch, accum, max_steps, epochs):
+def test_schedule(spark, batch, accum, max_steps, epochs, per_bucket):
     data, df = examples(spark, 90)
-    got = training.training_schedule(df.repartition(4), batch, accum, max_steps, epochs, seed=5).collect()
+    got = training.training_schedule(df.repartition(4), batch, accum, max_steps, epochs, 5, per_bucket=per_bucket).collect()
     for persona in {d[0] for d in data}:
         ids = [d[1] for d in data if d[0] == persona]
         mine = sorted((r.epoch, r.step, r.micro_batch, r.id) for r in got if r.persona_id == persona)
