@@ -144,25 +144,21 @@ def training_schedule(
         .withColumn("_bucket", F.substring("_digest", F.lit(1), F.col("_digits")))
     )
     bucket = [*group, "epoch", "_bucket"]
-    counts = shuffled.groupBy(*bucket).agg(
-        F.count("*").alias("_count"), F.first("_steps").alias("_bucket_steps")
-    )
-    starts = counts.select(
-        *bucket,
-        _before(F.col("_bucket"), [*group, "epoch"], F.col("_count")).alias("_start"),
-        "_bucket_steps",
-    )
+    small = shuffled.where(F.col("_digits") == 0).withColumn("_start", F.lit(0).cast("bigint"))
+    large = shuffled.where(F.col("_digits") > 0)
+    counts = large.groupBy(*bucket).agg(F.count("*").alias("_count"), F.first("_steps").alias("_steps"))
+    before = _before(F.col("_bucket"), [*group, "epoch"], F.col("_count"))
+    starts = counts.select(*bucket, before.alias("_start"), "_steps")
     if max_steps is not None:
         # Only the buckets that reach into the steps wanted are needed at all.
-        left = (F.lit(max_steps) - F.col("epoch") * F.col("_bucket_steps")) * per_step
+        left = (F.lit(max_steps) - F.col("epoch") * F.col("_steps")) * per_step
         starts = starts.where(F.col("_start") < left)
-    starts = starts.drop("_bucket_steps")
+    placed = small.unionByName(lookup_join(large, starts.drop("_steps"), bucket, stage=True))
 
     in_bucket = Window.partitionBy(*bucket).orderBy("_digest", "id")
     position = F.col("_start") + F.row_number().over(in_bucket) - 1
     steps = (
-        lookup_join(shuffled, starts, bucket, stage=True)
-        .withColumn("_position", position)
+        placed.withColumn("_position", position)
         .withColumn("micro_batch", whole_div(F.col("_position"), batch_size))
         .withColumn("step", F.col("epoch") * F.col("_steps") + whole_div(F.col("_position"), per_step))
     )
