@@ -6,12 +6,12 @@ from persona_spark.functions import values as V
 from persona_spark.functions.text import first_truthy, strip, truthy_text
 from persona_spark.model import BLOCK_PAYLOAD, TITLE_PROPERTY
 
-# Calendar date, optionally followed by any one separator, a time and an offset.
-_ISO = (
-    r"\A\d{4}-\d{2}-\d{2}"
-    r"(.([01]\d|2[0-3])(:?[0-5]\d(:?[0-5]\d([.,]\d+)?)?)?"
-    r"(Z|[+-]([01]\d|2[0-3])(:?[0-5]\d(:?[0-5]\d([.,]\d+)?)?)?)?)?\z"
-)
+# A clock: hours, then perhaps minutes, seconds and a fraction, with colons throughout or not at all.
+# Groups: hours, colon or nothing, minutes, seconds, fraction.
+_CLOCK = r"([01]\d|2[0-3])(?:(:?)([0-5]\d)(?:\%d([0-5]\d)(?:[.,](\d+))?)?)?"
+
+# Calendar date, optionally followed by any one separator, a clock and an offset, or by a Z alone.
+_ISO = rf"\A\d{{4}}-\d{{2}}-\d{{2}}(?:Z|[^Z]{_CLOCK % 2}(?:Z|([+-]){_CLOCK % 8})?)?\z"
 
 
 def _joined_segments(segments: Column) -> Column:
@@ -63,11 +63,19 @@ def created_date(created_time: Column) -> Column:
 
 
 def created_instant(created_time: Column) -> Column:
-    """The instant of an ISO time, for ordering; its day where the clock part cannot be read."""
-    day = created_date(created_time)
-    return F.when(
-        day.isNotNull(), F.coalesce(F.try_to_timestamp(created_time), day.cast("timestamp"))
-    )
+    """The instant of an ISO time, for ordering. Times without an offset count as UTC."""
+
+    def number(group: int) -> Column:
+        return F.coalesce(F.regexp_extract(created_time, _ISO, group).try_cast("bigint"), F.lit(0))
+
+    def clock(first: int) -> Column:
+        seconds = (number(first) * 60 + number(first + 2)) * 60 + number(first + 3)
+        fraction = F.rpad(F.regexp_extract(created_time, _ISO, first + 4), 6, "0").cast("bigint")
+        return seconds * 1_000_000 + fraction
+
+    sign = F.when(F.regexp_extract(created_time, _ISO, 6) == "-", -1).otherwise(1)
+    days = F.unix_date(created_date(created_time)).cast("bigint")
+    return F.timestamp_micros(days * 86_400_000_000 + clock(1) - sign * clock(7))
 
 
 def display_label(title: Column, created: Column) -> Column:

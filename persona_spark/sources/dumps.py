@@ -6,9 +6,10 @@ from persona_spark.model import RESPONSE
 from persona_spark.scale import lookup_join
 
 # An ingest position is dump_id, response_no and the place in the response, side by side in one
-# BIGINT: 36, 17 and 10 bits. A response lists at most 100 entries.
+# BIGINT. A response lists at most 100 entries. Numbers that do not fit are an error.
 ENTRY_BITS = 10
 RESPONSE_BITS = 17
+DUMP_BITS = 36
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
@@ -64,7 +65,7 @@ def page_responses(responses: DataFrame) -> DataFrame:
         "dump_id", "persona_id", "response_no", F.posexplode("results").alias("_entry_no", "_page")
     )
     position = (
-        F.shiftleft("dump_id", ENTRY_BITS + RESPONSE_BITS)
+        F.shiftleft(_checked(F.col("dump_id"), DUMP_BITS, "dumps"), ENTRY_BITS + RESPONSE_BITS)
         + F.shiftleft(_checked(F.col("response_no"), RESPONSE_BITS, "responses in a dump"), ENTRY_BITS)
         + _checked(F.col("_entry_no").cast("bigint"), ENTRY_BITS, "entries in a response")
     )
