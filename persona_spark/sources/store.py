@@ -56,9 +56,12 @@ class VersionedStore:
     appends their places to the list of commits, which is what makes them count. Readers keep the
     files they opened, nothing is overwritten, and a write that fails leaves no trace in the list.
 
-    One writer at a time, as with the batches of one stream.
+    One writer at a time, as with the batches of one stream. The number of buckets is settled by the
+    first upsert.
     """
 
+    COMMITS = "version BIGINT, bucket INT, path STRING, buckets INT"
+
     def __init__(self, spark: SparkSession, root: str, schema: StructType, buckets: int = 64):
         self.spark, self.root, self.schema, self.buckets = spark, root.rstrip("/"), schema, buckets
 
@@ -68,15 +71,16 @@ class VersionedStore:
     def _places(self) -> dict[int, tuple[int, str]]:
         """Bucket -> (version, folder); at most one entry per bucket."""
         try:
-            commits = self.spark.read.schema("version BIGINT, bucket INT, path STRING").parquet(
-                f"{self.root}/commits"
-            )
+            commits = self.spark.read.schema(self.COMMITS).parquet(f"{self.root}/commits")
         except AnalysisException as e:
             if e.getCondition() == "PATH_NOT_FOUND":
                 return {}
             raise
-        newest = commits.groupBy("bucket").agg(F.max(F.struct("version", "path")).alias("c"))
-        return {r.bucket: (r.c.version, r.c.path) for r in newest.collect()}
+        newest = commits.groupBy("bucket").agg(F.max(F.struct("version", "path", "buckets")).alias("c"))
+        found = newest.collect()
+        if any(r.c.buckets != self.buckets for r in found):
+            raise ValueError(f"the store has {found[0].c.buckets} buckets, not {self.buckets}")
+        return {r.bucket: (r.c.version, r.c.path) for r in found}
 
     def _read(self, paths: list[str]) -> DataFrame:
         if not paths:
@@ -107,9 +111,9 @@ class VersionedStore:
             .write.partitionBy("id_bucket")
             .parquet(folder)
         )
-        commits = [(version, b, f"{folder}/id_bucket={b}") for b in sorted(touched)]
+        commits = [(version, b, f"{folder}/id_bucket={b}", self.buckets) for b in sorted(touched)]
         (
-            self.spark.createDataFrame(commits, "version BIGINT, bucket INT, path STRING")
+            self.spark.createDataFrame(commits, self.COMMITS)
             .coalesce(1)
             .write.mode("append")
             .parquet(f"{self.root}/commits")

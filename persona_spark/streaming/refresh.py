@@ -1,6 +1,6 @@
 """Keeping the store up to date with dumps as they arrive."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from persona_spark.model import MEMORY, RESPONSE
@@ -10,12 +10,26 @@ from persona_spark.scale import lookup_join
 from persona_spark.sources.dumps import page_responses, read_responses
 from persona_spark.sources.store import VersionedStore
 
+STORE_BUCKETS = 64
+# Up to this many dumps are named in the filter, so that only their folders are opened.
+NAMED_DUMPS = 1000
 
-def memory_store(spark: SparkSession, store_dir: str) -> VersionedStore:
-    return VersionedStore(spark, store_dir, MEMORY)
 
+def memory_store(spark: SparkSession, store_dir: str, buckets: int = STORE_BUCKETS) -> VersionedStore:
+    return VersionedStore(spark, store_dir, MEMORY, buckets)
 
-def refresh_batch(batch: DataFrame, in_dir: str, store_dir: str) -> None:
+
+def touched_responses(batch: DataFrame, in_dir: str) -> DataFrame:
+    """All saved responses of the dumps that occur in the batch."""
+    saved = read_responses(batch.sparkSession, in_dir)
+    touched = batch.select("dump_id").distinct()
+    few = [r.dump_id for r in touched.take(NAMED_DUMPS + 1)]
+    if len(few) <= NAMED_DUMPS:
+        return saved.where(F.col("dump_id").isin(few))
+    return lookup_join(saved, touched, ["dump_id"], "left_semi", spread=["response_no"])
+
+
+def refresh_batch(batch: DataFrame, in_dir: str, store_dir: str, buckets: int = STORE_BUCKETS) -> None:
     """Bring the dumps that a batch touches into the store.
 
     The responses of one dump may arrive in several batches, so the touched dumps are read again as
@@ -23,12 +37,8 @@ def refresh_batch(batch: DataFrame, in_dir: str, store_dir: str) -> None:
     older one, so replays and late dumps leave the store as a single batch would.
     """
     spark = batch.sparkSession
-    store = memory_store(spark, store_dir)
-    touched = batch.select("dump_id").distinct()
-    responses = lookup_join(
-        read_responses(spark, in_dir), touched, ["dump_id"], "left_semi", spread=["response_no"]
-    )
-    pages, _ = object_split(page_responses(responses))
+    store = memory_store(spark, store_dir, buckets)
+    pages, _ = object_split(page_responses(touched_responses(batch, in_dir)))
     memories = pages_to_memories(pages).persist()
     try:
         held = store.read(store.touched(memories))
@@ -38,15 +48,20 @@ def refresh_batch(batch: DataFrame, in_dir: str, store_dir: str) -> None:
 
 
 def refresh_stream(
-    spark: SparkSession, in_dir: str, store_dir: str, checkpoint: str, files_per_batch: int | None = None
+    spark: SparkSession,
+    in_dir: str,
+    store_dir: str,
+    checkpoint: str,
+    files_per_batch: int | None = None,
+    buckets: int = STORE_BUCKETS,
 ) -> StreamingQuery:
-    """Start a query that works through all new dumps and ends."""
+    """Start a query that works through all new dumps and ends. `buckets` is that of the store."""
     reader = spark.readStream.schema(RESPONSE)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return (
         reader.json(in_dir)
-        .writeStream.foreachBatch(lambda batch, _: refresh_batch(batch, in_dir, store_dir))
+        .writeStream.foreachBatch(lambda batch, _: refresh_batch(batch, in_dir, store_dir, buckets))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -113,3 +113,13 @@ def test_cap_length(rows):
     assert C.cap_length(rows("text STRING", ("  ",)), 3).first().tokens == []
     letters = C.cap_length(rows("text STRING", ("abcd",)), 2, tokenizer=lambda c: F.split(c, ""))
     assert letters.first().tokens == ["a", "b"]
+
+
+def test_exact_tokenizer_as_a_pandas_udf(rows):
+    import pandas as pd
+
+    @F.pandas_udf("array<string>")
+    def letters(texts: pd.Series) -> pd.Series:
+        return texts.map(list)
+
+    assert C.cap_length(rows("text STRING", ("abcd",)), 3, tokenizer=letters).first().tokens == ["a", "b", "c"]

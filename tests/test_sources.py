@@ -7,7 +7,8 @@ from persona_spark.model import MEMORY
 from persona_spark.operators.store import stored_ids
 from persona_spark.plans.ingest import ingest_memories
 from persona_spark.sources import dumps, logs, store, training_set
-from persona_spark.streaming.refresh import memory_store, refresh_stream
+from persona_spark.streaming import refresh as refresh_module
+from persona_spark.streaming.refresh import memory_store, refresh_stream, touched_responses
 
 
 def page(i, text, **more):
@@ -85,6 +86,8 @@ def test_versioned_store(spark, rows, tmp_path):
     assert len(got) == 41 and got["i3"] == got["new"] == "v2" and got["i4"] == "v1"
     assert {r.content for r in before.collect()} == {"v1"}  # a reader keeps what it opened
     assert stored_ids(files.read()).count() == 41
+    with pytest.raises(ValueError, match="4 buckets"):
+        store.VersionedStore(spark, files.root, files.schema, buckets=8).read()
 
 
 @pytest.mark.parametrize("fmt", ["parquet", "json"])
@@ -127,3 +130,15 @@ def test_stream_equals_batch_whatever_arrives_when(spark, tmp_path):
     assert {k: v[0] for k, v in final.items()} == {"a": "a9", "b": "b5", "c": "c9"}
     batch = ingest_memories(dumps.read_responses(spark, str(folder))).collect()
     assert {r.id: (r.alt_content, r.ingest_pos) for r in batch} == final == refresh()
+
+
+def test_a_batch_opens_only_its_own_dumps(spark, tmp_path, monkeypatch):
+    for dump in (1, 2, 3):
+        save(tmp_path / f"dump_id={dump}", "r.json", response(dump, 0, [page(f"p{dump}", "")], False))
+    batch = dumps.read_responses(spark, str(tmp_path / "dump_id=2"))
+    found = touched_responses(batch, str(tmp_path))
+    assert [r.dump_id for r in found.collect()] == [2]
+    scan = next(x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in x)
+    assert "PartitionFilters: [isnotnull(dump_id" in scan and "= 2)" in scan
+    monkeypatch.setattr(refresh_module, "NAMED_DUMPS", 0)
+    assert [r.dump_id for r in touched_responses(batch, str(tmp_path)).collect()] == [2]
