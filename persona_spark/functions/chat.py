@@ -105,8 +105,8 @@ def _before_first(raw: Column, marker: str) -> Column:
 def extract_response(raw: Column, prompt: Column | None = None, strict: bool = True) -> Column:
     """The answer inside raw generated text; the first dialect whose marker occurs decides.
 
-    In the pipe dialect the reference behaviour keeps what follows the last end marker, so an answer
-    closed by it comes out empty; `strict=False` takes the text before the marker instead.
+    In the pipe dialect what follows the last end marker is kept, so an answer closed by it comes out
+    empty; `strict=False` takes the text before the marker instead.
     """
     piped = _after_last(raw, V.PIPE_ASSISTANT)
     piped = _after_last(piped, V.PIPE_END) if strict else _before_first(piped, V.PIPE_END)
