@@ -1,5 +1,7 @@
 """DuckDB SQL of the operators that SQL can express."""
 
+from persona_spark.llm.common import UPPER
+from persona_spark.llm.license_scan import GRAM, MIN_SHARE, PHRASES, SLACK, TEMPLATES
 from persona_spark.llm.quality_rules import MEASURES, STOP_WORDS, THRESHOLDS
 
 _WHITE = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -51,7 +53,52 @@ FROM (
 """
 
 
+def license_sql() -> str:
+    def words(text):
+        low = f"translate({text}, '{UPPER}', '{UPPER.lower()}')"
+        return rf"regexp_extract_all({low}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+    def grams(table, keys, positions):
+        return f"""SELECT {keys}, unnest(range(1, len(words) - {GRAM - 2})) AS {positions},
+          unnest(list_transform(range(1, len(words) - {GRAM - 2}),
+            lambda k: array_to_string(words[k:k + {GRAM - 1}], ' '))) AS gram FROM {table}"""
+
+    texts = [(label, text) for label, all_texts in TEMPLATES.items() for text in all_texts]
+    values = ", ".join(f"('{label}', {n}, '{text}')" for n, (label, text) in enumerate(texts))
+    starts = ", ".join(
+        f"list_filter(range(1, len(words) + 1), lambda i: words[i:i + {len(phrase.split()) - 1}] = "
+        f"{phrase.split()}) AS s{n}"
+        for n, phrase in enumerate(PHRASES)
+    )
+    every = " || ".join(f"s{n}" for n in range(len(PHRASES)))
+    labels = ", ".join(f"CASE WHEN len(s{n}) > 0 THEN '{label}' END" for n, label in enumerate(PHRASES.values()))
+    joined = "coalesce(array_to_string(list_sort(list_distinct({})), ','), '')"
+    return f"""
+WITH d AS (SELECT doc_id, {words("coalesce(text, '')")} AS words FROM documents),
+t AS (SELECT label, template, {words("text")} AS words FROM (VALUES {values}) v(label, template, text)),
+hits AS (SELECT doc_id, template, p - q AS diagonal, p FROM ({grams("d", "doc_id", "p")}) JOIN
+  ({grams("t", "template", "q")}) USING (gram)),
+votes AS (SELECT doc_id, template, diagonal, min(p) AS a, max(p) AS b FROM hits GROUP BY ALL),
+steps AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER o <= {SLACK} THEN 0 ELSE 1 END AS step FROM votes
+  WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+spans AS (SELECT doc_id, template, min(a) AS a, max(b) + {GRAM - 1} AS b FROM (
+  SELECT *, sum(step) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM steps)
+  GROUP BY doc_id, template, span),
+good AS (SELECT doc_id, list(label) AS labels, max(share) AS share FROM (
+  SELECT doc_id, label, len(list_intersect(list_distinct(d.words[a:b]), list_distinct(t.words)))
+    / len(list_distinct(t.words))::DOUBLE AS share
+  FROM spans JOIN d USING (doc_id) JOIN t USING (template)) WHERE share >= {MIN_SHARE} GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, len(places)::BIGINT AS n_base,
+  list_min(places) - 1 AS first_word, list_max(places) - 1 AS last_word,
+  {joined.format("base")} AS base_labels, {joined.format("base || coalesce(labels, [])")} AS labels,
+  CASE WHEN len(base) > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0) END AS score
+FROM (SELECT *, {every} AS places, list_filter([{labels}], lambda x: x IS NOT NULL) AS base
+  FROM (SELECT *, {starts} FROM d)) LEFT JOIN good USING (doc_id)
+"""
+
+
 ORACLES = {
+    "op10_license_scan": license_sql(),
     "op8_quality_rules": "SELECT doc_id, "
     + ", ".join([*MEASURES, *[t.measure for t in THRESHOLDS]])
     + f", base_failed, kept FROM ({quality_sql('documents')})",

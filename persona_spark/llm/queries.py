@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from persona_spark.llm.common import read
+from persona_spark.llm.license_scan import license_scan
 from persona_spark.llm.quality_rules import quality_rules
 
 
@@ -10,6 +11,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(read(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES = {
+    "op10_license_scan": op10_license_scan,
     "op8_quality_rules": op8_quality_rules,
 }
