@@ -114,7 +114,22 @@ FROM t GROUP BY conv_id
 """
 
 
+def line_dedup_sql(table: str) -> str:
+    """doc_id, n_lines, n_dropped, kept text. Holds for tables whose doc_id is unique."""
+    key = f"translate(trim(line, {_WHITE}), '{UPPER}', '{UPPER.lower()}')"
+    return f"""
+WITH l AS (SELECT doc_id, i, line, {key} AS k FROM (
+  SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM {table}))),
+f AS (SELECT k FROM l WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE f.k IS NOT NULL) AS n_dropped,
+  coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE f.k IS NULL), '') AS kept
+FROM l LEFT JOIN f USING (k) GROUP BY doc_id
+"""
+
+
 ORACLES = {
+    "op5_line_dedup": f"SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM ({line_dedup_sql('documents')})",
     "op6_chat_format": CHAT_SQL,
     "op10_license_scan": license_sql(),
     "op8_quality_rules": "SELECT doc_id, "

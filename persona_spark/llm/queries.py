@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from persona_spark.llm.common import read
 from persona_spark.llm.chat_format import digest, expand_examples
 from persona_spark.llm.license_scan import license_scan
+from persona_spark.llm.line_dedup import line_dedup
 from persona_spark.llm.quality_rules import quality_rules
 
 
@@ -27,7 +28,18 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(expand_examples(turns.unionByName(planted)))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup(docs).select(
+        "doc_id",
+        F.col("_lines.n_lines").alias("n_lines"),
+        F.col("_lines.n_dropped").alias("n_dropped"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
+    "op5_line_dedup": op5_line_dedup,
     "op6_chat_format": op6_chat_format,
     "op10_license_scan": op10_license_scan,
     "op8_quality_rules": op8_quality_rules,
