@@ -8,6 +8,8 @@ from persona_spark.llm.license_scan import license_scan
 from persona_spark.llm.line_dedup import line_dedup
 from persona_spark.llm.quality_rules import quality_rules
 
+from persona_spark.llm.url_filter import url_filter
+
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"))
@@ -38,7 +40,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(read(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op9_url_filter": op9_url_filter,
     "op5_line_dedup": op5_line_dedup,
     "op6_chat_format": op6_chat_format,
     "op10_license_scan": op10_license_scan,
