@@ -6,6 +6,7 @@ from persona_spark.llm.common import read
 from persona_spark.llm.chat_format import digest, expand_examples
 from persona_spark.llm.license_scan import license_scan
 from persona_spark.llm.line_dedup import line_dedup
+from persona_spark.llm.packing import best_fit_packing
 from persona_spark.llm.quality_rules import quality_rules
 
 from persona_spark.llm.url_filter import url_filter
@@ -44,7 +45,12 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(read(spark, sf_dir, "pages"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op9_url_filter": op9_url_filter,
     "op5_line_dedup": op5_line_dedup,
     "op6_chat_format": op6_chat_format,
