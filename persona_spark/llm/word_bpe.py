@@ -59,7 +59,10 @@ class WordBpe:
         return self.encode_plain(text)
 
     def encode_plain(self, text: str) -> list[int]:
-        words = _WORD.findall(text.lower())
+        return self.encode_lowered(text.lower())
+
+    def encode_lowered(self, low: str) -> list[int]:
+        words = _WORD.findall(low)
         known = self._known
         try:
             return list(chain.from_iterable(map(known.__getitem__, words)))
@@ -71,6 +74,11 @@ class WordBpe:
             known.update(zip(new, (f.ids for f in found)))
             return list(chain.from_iterable(map(known.__getitem__, words)))
 
+    @staticmethod
+    def words_from(low: str, start: int):
+        """Matches of the words of a lower-cased plain text from a place on."""
+        return _WORD.finditer(low, start)
+
     @staticmethod
     def word_starts(text: str):
         """Matches of the words of a plain text, in order."""
