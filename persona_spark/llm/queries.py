@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from persona_spark.llm.common import read
 from persona_spark.llm.chat_format import digest, expand_examples
 from persona_spark.llm.chunk_bpe import chunk_bpe
+from persona_spark.llm.collision_ann import collision_ann
 from persona_spark.llm.license_scan import license_scan
 from persona_spark.llm.line_dedup import line_dedup
 from persona_spark.llm.packing import best_fit_packing
@@ -54,7 +55,13 @@ def op1_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_bpe(read(spark, sf_dir, "documents"))
 
 
+def op7_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return collision_ann(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 QUERIES = {
+    "op7_collision_ann": op7_collision_ann,
     "op1_chunk_bpe": op1_chunk_bpe,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op9_url_filter": op9_url_filter,
