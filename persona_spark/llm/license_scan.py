@@ -99,7 +99,8 @@ def license_spans(docs: DataFrame, templates: DataFrame) -> DataFrame:
     )
     hits = (
         with_grams(docs.select("_id", "_hash", "_words"), "_words", "_g")
-        .select("_id", "_hash", F.posexplode("_g").alias("_pos", "_gram"))
+        # The outer form, as the plain one adds a filter on the array's size and works the array out once more.
+        .select("_id", "_hash", F.posexplode_outer("_g").alias("_pos", "_gram"))
         .join(F.broadcast(grams), "_gram")
     )
     diagonal = F.col("_pos") - F.col("_tpos")
