@@ -6,6 +6,7 @@ from persona_spark.llm.common import read
 from persona_spark.llm.chat_format import digest, expand_examples
 from persona_spark.llm.chunk_bpe import chunk_bpe
 from persona_spark.llm.collision_ann import collision_ann
+from persona_spark.llm.jaccard_join import jaccard_join
 from persona_spark.llm.kneser_ney import kneser_ney
 from persona_spark.llm.license_scan import license_scan
 from persona_spark.llm.line_dedup import line_dedup
@@ -65,7 +66,12 @@ def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("text_hash")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
+    "op3_jaccard_join": op3_jaccard_join,
     "op2_kneser_ney": op2_kneser_ney,
     "op7_collision_ann": op7_collision_ann,
     "op1_chunk_bpe": op1_chunk_bpe,
