@@ -167,4 +167,8 @@ def quality_rules(
 def keep_good(docs: DataFrame, thresholds: Sequence[Threshold] = THRESHOLDS) -> DataFrame:
     """The rows of `docs` that pass, with the columns of `docs`. A text that passes is not null."""
     whole = [F.col("_text" if c == "text" else f"_d.{c}").alias(c) for c in docs.columns]
-    return measured(docs).filter(~base_failed() & compile_thresholds(thresholds)).select(*whole)
+    judged = measured(docs).withColumn("_kept", ~base_failed() & compile_thresholds(thresholds))
+    # A filter would be pushed down through the steps of `measured`, and each of them written out where it is used.
+    # It stops at a column that is not deterministic.
+    fixed = judged.withColumn("_row", F.monotonically_increasing_id())
+    return fixed.filter("_kept AND _row >= 0").select(*whole)
