@@ -11,6 +11,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from persona_spark.llm.common import row_key
 from persona_spark.llm.word_bpe import WordBpe, word_bpe
 from persona_spark.scale import lookup_join
 
@@ -63,7 +64,7 @@ def encode_chunk(bpe: WordBpe, chunk: str) -> tuple[bytes, list[int], list[int],
             tail = (word.start(), len(ids))
         ids += bpe.encode_plain(word.group())
         end = word.end()
-    return np.array(ids, "<u4").tobytes(), starts, counts, *tail
+    return np.array(ids, bpe.id_type).tobytes(), starts, counts, *tail
 
 
 def _last_white(text: str, start: int, end: int) -> int:
@@ -106,7 +107,7 @@ def encode_document(bpe: WordBpe, text: str, found: dict[bytes, tuple]) -> tuple
         ids += bpe.encode_lowered(low[done:cut])
         for word in window:
             ids += bpe.encode_lowered(word)
-        shared = np.frombuffer(coded, "<u4")[heads[agreed] : tail_count]
+        shared = np.frombuffer(coded, bpe.id_type)[heads[agreed] : tail_count]
         ids += shared.tolist()
         reused += len(shared)
         done = max(start + tail_start, start + agreed)
@@ -187,8 +188,7 @@ def chunk_bpe(docs: DataFrame, vocabulary: str | None = None, text: str = "text"
     texts are moved, encoded once and brought to the documents that hold them. Texts are moved once, compressed.
     """
     keyed = docs.select(
-        F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("hash")).alias("_id"),
-        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"),
+        row_key(text).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")
     )
     coded, holders = encode_shared(keyed, vocabulary)
     records = (
@@ -217,7 +217,7 @@ def chunk_bpe(docs: DataFrame, vocabulary: str | None = None, text: str = "text"
                 row = [
                     batch.column(0)[i].as_py()["doc_id"],
                     len(ids),
-                    hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(),
+                    hashlib.sha256(bpe.numbers(ids).encode()).hexdigest(),
                     hashlib.sha256(bpe.decode(ids).encode()).hexdigest(),
                     reused,
                 ]

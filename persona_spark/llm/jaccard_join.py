@@ -11,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from persona_spark.llm.common import row_key, without
 from persona_spark.llm.components import components
 from persona_spark.llm.shingles import shingle_set, signature
 from persona_spark.scale import lookup_join
@@ -260,8 +261,7 @@ def jaccard_join(docs: DataFrame, text: str = "text") -> DataFrame:
     are left out. Equal sets are one node, known by a 64-bit hash of the set; shingles are 64-bit hashes too.
     """
     keyed = docs.select(
-        F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("hash")).alias("_id"),
-        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"),
+        row_key(text).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")
     )
     narrow = stage_table(narrow_sets(keyed), "sets_narrow")
     counts = stage_table(prefix_counts(keyed).filter("n > 1"), "prefix_counts")
@@ -280,7 +280,7 @@ def jaccard_join(docs: DataFrame, text: str = "text") -> DataFrame:
     grouped = (F.col("n") > 0) & F.col("_first").isNotNull()
     return joined.select(
         F.col("_id.doc_id").alias("doc_id"),
-        F.col("_id.hash").alias("text_hash"),
+        F.col("_id.text_hash").alias("text_hash"),
         F.col("n").alias("n_shingles"),
         F.when(grouped, F.col("component_id")).otherwise(F.col("_id.doc_id")).alias("component_id"),
         (~grouped | (F.col("_id") == F.col("_first"))).alias("is_first"),
@@ -290,9 +290,4 @@ def jaccard_join(docs: DataFrame, text: str = "text") -> DataFrame:
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of `docs` without those that lie in a group and are not its first by id (nulls first), then text hash.
     Rows equal in id and text stay or go together, but for one of them; columns as in `docs`."""
-    gone = jaccard_join(docs).filter("NOT is_first").select(F.struct("doc_id", "text_hash").alias("_key")).distinct()
-    keyed = docs.withColumn(
-        "_key",
-        F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")),
-    )
-    return lookup_join(keyed, gone, ["_key"], "left_anti", stage=True).select(*docs.columns)
+    return without(docs, jaccard_join(docs).filter("NOT is_first"))

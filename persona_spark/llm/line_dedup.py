@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from persona_spark.llm.common import lower_ascii, strip_white
+from persona_spark.llm.common import lower_ascii, nested, row_key, strip_white, unnested
 from persona_spark.scale import lookup_join
 
 #: A key found in at least this many documents loses its lines, if it has at least so many code points.
@@ -24,15 +24,10 @@ def line_key(line: Column) -> Column:
     return lower_ascii(strip_white(line))
 
 
-def _identified(docs: DataFrame, text: str) -> DataFrame:
-    return docs.withColumn("_id", F.struct("doc_id", F.xxhash64(F.coalesce(text, F.lit("")))))
-
-
 def line_positions(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """Document, position and 128-bit hash of every line that counts, each document's equal rows once."""
     return (
-        _identified(docs, text)
-        .select("_id", F.posexplode(lines_of(text)).alias("_pos", "_line"))
+        docs.select(row_key(text).alias("_id"), F.posexplode_outer(lines_of(text)).alias("_pos", "_line"))
         .select("_id", "_pos", line_key(F.col("_line")).alias("_key"))
         .filter(F.length("_key") >= min_chars)
         .select("_id", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(1), "_key").alias("_h2"))
@@ -99,35 +94,28 @@ def line_dedup(
     keep_first: bool = False,
     text: str = "text",
 ) -> DataFrame:
-    """All rows and columns of `docs`, `text` without the lines that go, and `n_lines`, `n_dropped` in `_lines`.
+    """All rows and columns of `docs`, `text` without the lines that go, and what was done in `_lines`
+    (with more underscores if that name is taken): `n_lines`, `n_dropped` and the runs `dropped`.
 
     The bitmaps are staged and meet the texts in one join: broadcast behind a size check, a shuffle beyond it. A null
     text that loses nothing stays null. Repeated rows lose the same lines each and count as one document.
     """
     bitmaps = keep_bitmaps(docs, min_documents, min_chars, keep_first, text)
-    joined = lookup_join(_identified(docs, text), bitmaps, ["_id"], "left", stage=True)
-    lines = lines_of(text)
+    report = "_lines"
+    while report in docs.columns:
+        report += "_"
+    rows = docs.select(nested(docs), row_key(text).alias("_id"), lines_of(text).alias("_split"))
+    joined = lookup_join(rows, bitmaps, ["_id"], "left", stage=True)
     kept = F.expr(
         "array_except(sequence(0, size(_split) - 1), flatten(transform(dropped, r -> sequence(r.from, r.to))))"
     )
-    return (
-        joined.withColumn("_split", lines)
-        .withColumn("_kept", F.when(F.col("dropped").isNotNull(), kept))
-        .withColumn(
-            "_new",
-            F.when(F.col("_kept").isNull(), F.col(text)).otherwise(
-                F.concat_ws("\n", F.transform("_kept", lambda i: F.get("_split", i)))
-            ),
-        )
-        .select(
-            *[F.col("_new" if c == text else c).alias(c) for c in docs.columns],
-            F.struct(
-                F.size("_split").cast("bigint").alias("n_lines"),
-                F.when(F.col("_kept").isNotNull(), F.size("_split") - F.size("_kept"))
-                .otherwise(F.lit(0))
-                .cast("bigint")
-                .alias("n_dropped"),
-                F.coalesce("dropped", F.array().cast("array<struct<from:int,to:int>>")).alias("dropped"),
-            ).alias("_lines"),
-        )
+    left = F.concat_ws("\n", F.transform("_kept", lambda i: F.get("_split", i)))
+    whole = F.col("_kept").isNull()
+    return joined.withColumn("_kept", F.when(F.col("dropped").isNotNull(), kept)).select(
+        *unnested(docs, **{text: F.when(whole, F.col(f"_row.{text}")).otherwise(left)}),
+        F.struct(
+            F.size("_split").cast("bigint").alias("n_lines"),
+            F.when(whole, F.lit(0)).otherwise(F.size("_split") - F.size("_kept")).cast("bigint").alias("n_dropped"),
+            F.coalesce("dropped", F.array().cast("array<struct<from:int,to:int>>")).alias("dropped"),
+        ).alias(report),
     )

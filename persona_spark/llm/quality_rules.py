@@ -63,7 +63,7 @@ def measured(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFra
             stop = F.when(
                 (F.col(f"_d.{lang}") == name) & (F.col("n_words") > 0), found / F.col("n_words")
             ).otherwise(stop)
-    df = docs.select(F.struct(*map(F.col, kept)).alias("_d"), F.coalesce(text, F.lit("")).alias("_text"))
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_d"), F.coalesce(text, F.lit("")).alias("_text"))
     df = df.withColumn("_trimmed", strip_white(F.col("_text")))
     df = df.withColumn(
         "_words",
@@ -166,7 +166,7 @@ def quality_rules(
 
 def keep_good(docs: DataFrame, thresholds: Sequence[Threshold] = THRESHOLDS) -> DataFrame:
     """The rows of `docs` that pass, with the columns of `docs`. A text that passes is not null."""
-    whole = [F.col("_text" if c == "text" else f"_d.{c}").alias(c) for c in docs.columns]
+    whole = [F.col("_text" if c == "text" else f"_d.`{c}`").alias(c) for c in docs.columns]
     judged = measured(docs).withColumn("_kept", ~base_failed() & compile_thresholds(thresholds))
     # A filter would be pushed down through the steps of `measured`, and each of them written out where it is used.
     # It stops at a column that is not deterministic.

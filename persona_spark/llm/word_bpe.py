@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 from public_tokenizers import path as vocabulary_path
 
@@ -28,8 +28,8 @@ _WORD = re.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{re.escape(_SPACES)}{_LETTER}{_NUMBER}]+"
 )
 
-#: Words remembered per worker; beyond it the memory starts anew.
-MAX_REMEMBERED = 1_000_000
+#: Words remembered per worker; beyond it the later half, which holds the rarer words, is forgotten.
+MAX_REMEMBERED = 300_000
 
 
 class WordBpe:
@@ -42,9 +42,13 @@ class WordBpe:
         self._library = Tokenizer.from_file(path)
         self._library.no_truncation()
         self._library.no_padding()
-        self._known: dict[str, list[int]] = {}
+        self._known: dict[str, tuple[int, ...]] = {}
         size = self._library.get_vocab_size(with_added_tokens=True)
         self._tokens = [self._library.id_to_token(i) for i in range(size)]
+        self._closes = [t.endswith("</w>") for t in self._tokens]
+        self._same = list(range(size))  # one object per id, however many words hold it
+        self._numbers = [str(i) for i in range(size)]
+        self.id_type = "<u2" if size <= 1 << 16 else "<u4"
 
     @staticmethod
     def is_plain(text: str) -> bool:
@@ -67,13 +71,26 @@ class WordBpe:
         try:
             return list(chain.from_iterable(map(known.__getitem__, words)))
         except KeyError:
-            if len(known) > MAX_REMEMBERED:
-                known.clear()
-            new = [w for w in set(words) if w not in known]
-            found = self._library.encode_batch_fast(new, add_special_tokens=False)
-            known.update(zip(new, (f.ids for f in found)))
+            self._learn([w for w in set(words) if w not in known])
             return list(chain.from_iterable(map(known.__getitem__, words)))
 
+    def _learn(self, new: list[str]) -> None:
+        """Encode words by one call: spaces keep them apart, and the last token of each carries the mark of a word's end."""
+        known = self._known
+        if len(known) > MAX_REMEMBERED:
+            for word in list(islice(known, MAX_REMEMBERED // 2, None)):
+                del known[word]
+        ids = self.encode_whole(" ".join(new))
+        ends = [k for k, i in enumerate(ids, 1) if self._closes[i]]
+        if len(ends) != len(new):  # a vocabulary without such marks
+            known.update((w, self.encode_whole(w)) for w in new)
+            return
+        same = self._same
+        start = 0
+        for word, end in zip(new, ends):
+            known[word] = tuple([same[i] for i in ids[start:end]])
+            start = end
+
     @staticmethod
     def words_from(low: str, start: int):
         """Matches of the words of a lower-cased plain text from a place on."""
@@ -89,6 +106,11 @@ class WordBpe:
         return " ".join(map(self._tokens.__getitem__, ids))
 
 
+    def numbers(self, ids) -> str:
+        """The ids in decimal, joined by spaces."""
+        return " ".join(map(self._numbers.__getitem__, ids))
+
+
 @lru_cache(maxsize=2)
 def word_bpe(path: str | None = None) -> WordBpe:
     """One encoder per worker process and vocabulary."""
