@@ -23,6 +23,8 @@ PERCENT = 80
 #: any order finds the same links, a better one makes shorter lists.
 MAX_FREQUENT = 2_000_000
 FREQUENT_FROM = 5
+#: Beyond this length the rough order of lists does not do: their sets are ordered by exact frequencies.
+LONG_LIST = 32
 #: A small set has at most so many subsets of the sizes looked at; larger sets are found by lists alone.
 MAX_SUBSETS = 4_096
 
@@ -146,9 +148,8 @@ def _may_link(n1: str, rest1: str, n2: str, rest2: str) -> Column:
     return (100 + PERCENT) * F.least(rest1, rest2) >= need
 
 
-def verified(pairs: DataFrame, docs: DataFrame, narrow: DataFrame) -> DataFrame:
-    """The pairs (a, b) of signatures that link, counted on the whole sets. Only texts of sets in a pair are read."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+def whole_sets(wanted: DataFrame, docs: DataFrame, narrow: DataFrame) -> DataFrame:
+    """sig and hashes of the sets `wanted`. Only one text of each is read out of all documents."""
     holders = lookup_join(
         narrow.filter("n > 0").groupBy("sig").agg(F.min("_id").alias("_id")), wanted, ["sig"], "left_semi", stage=True
     )
@@ -159,8 +160,33 @@ def verified(pairs: DataFrame, docs: DataFrame, narrow: DataFrame) -> DataFrame:
             sets = [_signed(shingle_set(t.as_py())) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["sig", "hashes"])
 
-    sets = texts.select("sig", "_text").mapInArrow(shingles, "sig long, hashes array<long>")
-    sets = stage_table(sets, "sets")
+    return texts.select("sig", "_text").mapInArrow(shingles, "sig long, hashes array<long>")
+
+
+def dense_lists(crowded: DataFrame, docs: DataFrame, narrow: DataFrame) -> DataFrame:
+    """key, sig, n, rest and _in of the lists among the sets `crowded`, rarest shingles first.
+
+    Near copies of one text have most shingles in common, and what makes them differ is rare: by exact frequencies
+    it comes first, and the positions that remain tell most pairs that cannot link.
+    """
+    sets = stage_table(whole_sets(crowded, docs, narrow), "crowded_sets")
+    rows = sets.select("sig", F.size("hashes").cast("long").alias("n"), F.explode_outer("hashes").alias("key"))
+    often = rows.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
+    by_rarity = W.partitionBy("sig").orderBy("df", "key")
+    shared = rows.join(often, "key").withColumn("_at", F.row_number().over(by_rarity))
+    # Shingles that no other set holds come before all of these.
+    left = F.count("*").over(W.partitionBy("sig")) - F.col("_at") + 1
+    least = F.ceil(PERCENT * F.col("n") / 100)
+    lists = shared.withColumn("rest", left.cast("long")).filter(F.col("rest") >= least)
+    lists = stage_table(lists.select(F.xxhash64(F.lit("dense"), "key").alias("key"), "sig", "n", "rest"), "dense")
+    sizes = lists.groupBy("key").agg(F.count("*").alias("_in")).filter("_in > 1")
+    return lists.join(sizes, "key")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, narrow: DataFrame) -> DataFrame:
+    """The pairs (a, b) of signatures that link, counted on the whole sets."""
+    wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
+    sets = stage_table(whole_sets(wanted, docs, narrow), "sets")
     shared = F.size(F.array_intersect("h1", "h2"))
     return (
         pairs.join(sets.select(F.col("sig").alias("a"), F.col("hashes").alias("h1")), "a")
@@ -189,7 +215,7 @@ def frequent_shingles(counts: DataFrame, most: int = MAX_FREQUENT) -> tuple[np.n
 def link_components(docs: DataFrame, narrow: DataFrame, counts: DataFrame) -> DataFrame:
     """(node, component) over the signatures that link to another one. Every link's two ends are in one component.
 
-    In each list the member with most left to share is the hub. First every member is compared with its hubs; what
+    In each list the member with the longest lists is the hub. First every member is compared with its hubs; what
     links is one component already and needs no more looking at. Then, in lists that still hold several components,
     members outside the hub's are compared with those of other components that the positions in the list
     allow. A pair that links shares a first shingle, and no filter hides it in that shingle's list.
@@ -201,14 +227,21 @@ def link_components(docs: DataFrame, narrow: DataFrame, counts: DataFrame) -> Da
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = memberships(docs, frequent, boundary).repartition(parts, "key").dropDuplicates(["key", "sig"])
     in_list = F.count("*").over(W.partitionBy("key"))
-    lists = stage_table(dealt.withColumn("_in", in_list).filter("_in > 1").drop("_in"), "lists")
+    first = stage_table(dealt.withColumn("_in", in_list).filter("_in > 1"), "lists")
+    # Sets in long lists are joined among themselves once more, in an order by exact frequencies.
+    crowded = first.filter(F.col("_in") > LONG_LIST).select("sig").distinct()
+    dense = dense_lists(stage_table(crowded, "crowded"), docs, narrow)
+    lists = stage_table(first.filter(F.col("_in") <= LONG_LIST).unionByName(dense), "lists")
+    # A set that is in many and long lists is the hub of all of them, so that a group is compared with few hubs.
+    scores = lists.groupBy("sig").agg(F.sum("_in").alias("score"))
+    lists = lists.drop("_in").join(scores, "sig")
     # Lists with the same members: the earliest in the order, which leaves most to share, stands for all of them.
     alike = lists.groupBy("key").agg(
         F.count("*").alias("_n"),
         F.bit_xor(F.xxhash64("sig")).alias("_x"),
         F.min("sig").alias("_m"),
         F.sum("rest").alias("_rest"),
-        F.max(F.struct((F.col("rest") / F.col("n")).alias("share"), "sig", "n", "rest")).alias("hub"),
+        F.max(F.struct("score", "sig", "n", "rest")).alias("hub"),
         F.min("n").alias("least"),
     )
     kept = alike.groupBy("_n", "_x", "_m").agg(F.max_by(F.struct("key", "hub", "least"), "_rest").alias("k"))
