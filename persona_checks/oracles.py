@@ -4,12 +4,8 @@ from string import Formatter
 
 from persona_checks.queries import CAP_LEN, EXTRA_TEMPLATE, PACK_LEN, TAIL_LINES
 from persona_checks.views import VIEWS
+from persona_checks.wording import PERSONA_TEMPLATE, POOL, STRUCTURE
 from persona_spark.functions import values as V
-from persona_spark.functions.templates import (
-    DEFAULT_PERSONA_TEMPLATE,
-    DEFAULT_POOL,
-    DEFAULT_STRUCTURE,
-)
 
 
 def text(value: str) -> str:
@@ -28,8 +24,8 @@ def filled(template: str, **columns: str) -> str:
 
 
 PERSONA_COLUMNS = {f: f"coalesce({f}, {text('the user' if f == 'name' else '')})" for f in V.PERSONA_FIELDS}
-PROMPT = filled(DEFAULT_PERSONA_TEMPLATE, **PERSONA_COLUMNS)
-PROMPT_STRUCTURED = f"{PROMPT} || {text(chr(10) * 2 + DEFAULT_STRUCTURE)}"
+PROMPT = filled(PERSONA_TEMPLATE, **PERSONA_COLUMNS)
+PROMPT_STRUCTURED = f"{PROMPT} || {text(chr(10) * 2 + STRUCTURE)}"
 BLANKS = r"E' \t\n\r'"
 
 DAY = "try_cast(substr(created_time, 1, 10) AS DATE)"
@@ -37,12 +33,12 @@ DAY = "try_cast(substr(created_time, 1, 10) AS DATE)"
 
 def _pool() -> str:
     always = [
-        *map(text, DEFAULT_POOL.identity),
-        *[filled(p, title="lower(title)") for p in DEFAULT_POOL.about_title],
-        *map(text, DEFAULT_POOL.open_ended),
-        *map(text, DEFAULT_POOL.greetings),
+        *map(text, POOL.identity),
+        *[filled(p, title="lower(title)") for p in POOL.about_title],
+        *map(text, POOL.open_ended),
+        *map(text, POOL.greetings),
     ]
-    dated = [filled(p, date=f"strftime({DAY}, '%B %d, %Y')") for p in DEFAULT_POOL.about_date]
+    dated = [filled(p, date=f"strftime({DAY}, '%B %d, %Y')") for p in POOL.about_date]
     both = ", ".join(always)
     return f"CASE WHEN {DAY} IS NULL THEN [{both}] ELSE [{both}, {', '.join(dated)}] END"
 
@@ -120,7 +116,7 @@ FROM run_requests""",
     "asked": f"""
 SELECT q.question_id, q.message,
   CASE WHEN coalesce(q.system_prompt, '') <> '' THEN q.system_prompt
-       WHEN p.persona_id IS NULL THEN {text(DEFAULT_PERSONA_TEMPLATE)} ELSE p.system_prompt END AS system_text
+       WHEN p.persona_id IS NULL THEN {text(PERSONA_TEMPLATE)} ELSE p.system_prompt END AS system_text
 FROM questions q LEFT JOIN prompts p ON p.persona_id = q.persona_id
 WHERE trim(coalesce(q.message, ''), {BLANKS}) <> ''""",
 }
@@ -223,7 +219,7 @@ SELECT epoch, epoch * steps + pos // 8 AS step, pos AS micro_batch, id FROM plac
     "inference_requests": with_views(
         f"""SELECT question_id, CASE WHEN trim(system_text) = '' THEN 'user' ELSE 'system,user' END AS roles,
         CASE WHEN trim(system_text) <> '' THEN system_text END AS system_text,
-        '<start_of_turn>user' || chr(10) || CASE WHEN trim(system_text) = '' THEN '' ELSE trim(system_text, {BLANKS}) || chr(10) || chr(10) END
+        '<bos><start_of_turn>user' || chr(10) || CASE WHEN trim(system_text) = '' THEN '' ELSE trim(system_text, {BLANKS}) || chr(10) || chr(10) END
           || trim(message, {BLANKS}) || '<end_of_turn>' || chr(10) || '<start_of_turn>model' || chr(10) AS prompt FROM asked""",
         "personas", "prompts", "questions", "asked",
     ),
@@ -301,11 +297,11 @@ QUALIFY row_number() OVER (PARTITION BY run_id, section, key ORDER BY rank DESC)
     ),
     "source_fallback": with_views(
         """
-, stored AS (SELECT * FROM memories WHERE id IN (SELECT id FROM selection))
+, stored AS (SELECT * FROM memories WHERE id IN (SELECT id FROM selection) AND persona_id % 3 > 0)
 SELECT id, persona_id, ingest_pos, 'store' AS origin FROM stored
 UNION ALL
 SELECT id, persona_id, ingest_pos, 'fresh' AS origin FROM memories
-WHERE persona_id NOT IN (SELECT persona_id FROM stored)""",
+WHERE persona_id NOT IN (SELECT persona_id FROM stored) AND id IN (SELECT id FROM selection)""",
         "memories", "selection",
     ),
     "store_membership": with_views(

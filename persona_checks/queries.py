@@ -5,8 +5,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from persona_checks import wording
 from persona_checks.fixtures import Tables
-from persona_spark.functions import templates as T
 from persona_spark.model import MEMORY, PAGE
 from persona_spark.operators import checks, conversations as C, inference, pages, ranking, runs, store, training
 from persona_spark.plans import ask, build, ingest
@@ -21,7 +21,7 @@ PACK_LEN = 512
 CAP_LEN = 2048
 TAIL_LINES = 500
 EXTRA_TEMPLATE = "{name} ({age}) of {{home}} {location}, {segment}: {bio}"
-STRUCTURE = T.DEFAULT_STRUCTURE
+WORDING = {"template": wording.PERSONA_TEMPLATE, "structure": wording.STRUCTURE, "pool": wording.POOL}
 
 
 def query(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
@@ -103,7 +103,7 @@ def store_export_json(t):
 @query
 def training_set_sink(t):
     path = fresh_path(t.spark, "training-set")
-    examples = build.build_training_set(t["memories"], t["personas"])
+    examples = build.build_training_set(t["memories"], t["personas"], **WORDING)
     training_set.write_training_set(examples, path, "json", buckets=8)
     stored = t.spark.read.schema(examples.schema).json(path)
     return stored.select("id", "persona_id", F.size("conversations").cast("bigint").alias("n_messages"), "text")
@@ -174,7 +174,7 @@ def drop_blank(t):
 
 @query
 def persona_prompt(t):
-    return C.persona_prompt(t["personas"], T.DEFAULT_PERSONA_TEMPLATE, T.DEFAULT_STRUCTURE)
+    return C.persona_prompt(t["personas"], wording.PERSONA_TEMPLATE, wording.STRUCTURE)
 
 
 @query
@@ -185,13 +185,13 @@ def persona_prompt_extras(t):
 
 @query
 def prompt_candidates(t):
-    out = C.prompt_candidates(pages.prompt_title(t["memories"]))
+    out = C.prompt_candidates(pages.prompt_title(t["memories"]), wording.POOL)
     return out.select("id", F.size("candidates").cast("bigint").alias("n"), joined("candidates", "|"))
 
 
 @query
 def pick_prompt(t):
-    return C.pick_prompt(C.prompt_candidates(pages.prompt_title(t["memories"]))).select("id", "user_prompt")
+    return C.pick_prompt(C.prompt_candidates(pages.prompt_title(t["memories"]), wording.POOL)).select("id", "user_prompt")
 
 
 @query
@@ -201,14 +201,14 @@ def select_memories(t):
 
 @query
 def attach_persona(t):
-    prompts = C.persona_prompt(t["personas"], T.DEFAULT_PERSONA_TEMPLATE)
+    prompts = C.persona_prompt(t["personas"], wording.PERSONA_TEMPLATE)
     return C.attach_persona(usable(t), prompts).select("id", "persona_id", "system_prompt", "content")
 
 
 @query
 def to_conversation(t):
     """The flagship: selected memories of every persona as conversations, messages as columns."""
-    prompted = build.prompted_memories(t["memories"], t["personas"], t["selection"])
+    prompted = build.prompted_memories(t["memories"], t["personas"], t["selection"], **WORDING)
     return C.to_conversation(prompted).select(
         "id",
         "persona_id",
@@ -222,12 +222,12 @@ def to_conversation(t):
 
 @query
 def render_chat(t):
-    return build.build_training_set(t["memories"], t["personas"]).select("id", "text")
+    return build.build_training_set(t["memories"], t["personas"], **WORDING).select("id", "text")
 
 
 @query
 def supervised_spans(t):
-    examples = C.supervised_spans(build.build_training_set(t["memories"], t["personas"]))
+    examples = C.supervised_spans(build.build_training_set(t["memories"], t["personas"], **WORDING))
     # The outer form: the plain one would add a filter on the size of the array, worked out twice.
     spans = examples.select("id", "text", F.posexplode_outer("spans").alias("span_no", "span")).where(
         F.col("span").isNotNull()
@@ -280,7 +280,7 @@ def training_schedule_one_run(t):
 @query
 def inference_requests(t):
     requests = inference.request_texts(
-        inference.inference_requests(t["questions"], t["personas"], T.DEFAULT_PERSONA_TEMPLATE, STRUCTURE)
+        inference.inference_requests(t["questions"], t["personas"], wording.PERSONA_TEMPLATE, wording.STRUCTURE, fallback=wording.FALLBACK)
     )
     roles = F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles")
     system = F.when(F.size("messages") == 2, F.col("messages")[0]["content"]).alias("system_text")
@@ -375,9 +375,9 @@ def layered_settings(t):
 @query
 def source_fallback(t):
     memories = t["memories"].select("id", "persona_id", "ingest_pos")
-    stored = C.select_memories(memories, t["selection"])
+    stored = C.select_memories(memories, t["selection"]).where("persona_id % 3 > 0")
     return store.source_fallback(
-        stored.withColumn("origin", F.lit("store")), memories.withColumn("origin", F.lit("fresh"))
+        stored.withColumn("origin", F.lit("store")), memories.withColumn("origin", F.lit("fresh")), t["selection"]
     )
 
 
@@ -477,13 +477,13 @@ def browse_list(t):
 
 @query
 def build_training_set(t):
-    examples = build.build_training_set(t["memories"], t["personas"], t["selection"])
+    examples = build.build_training_set(t["memories"], t["personas"], t["selection"], **WORDING)
     return examples.select("id", "persona_id", "ingest_pos", "text")
 
 
 @query
 def ask_and_answer(t):
     """The prompts of all questions, answered by an echo, and the answers read back."""
-    requests = ask.prepare_requests(t["questions"], t["personas"])
+    requests = ask.prepare_requests(t["questions"], t["personas"], wording.PERSONA_TEMPLATE, wording.STRUCTURE, fallback=wording.FALLBACK)
     echo = requests.withColumn("raw", F.concat("prompt", "message", F.lit("<end_of_turn>")))
     return ask.read_answers(echo, "prompt").select("question_id", "response")

@@ -42,7 +42,8 @@ HEADER_TEMPLATE = ChatTemplate(
 def render_chat(
     messages: Column, template: ChatTemplate = TURN_TEMPLATE, add_generation_prompt: bool = False
 ) -> Column:
-    """Messages (role, content) as one text, without the bos marker of the turn dialect in front."""
+    """Messages (role, content) as one text. Texts to learn from go without the bos marker of the turn
+    dialect, as a trainer adds its own; prompts for a generator keep it."""
 
     def body(m: Column) -> Column:
         return strip(m["content"]) if template.strip_content else m["content"]
@@ -64,7 +65,8 @@ def render_chat(
         rendered = F.transform(turns, lambda m, i: turn(m, F.when(i == 0, system).otherwise("")))
     else:
         rendered = F.transform(messages, lambda m: turn(m, F.lit("")))
-    parts = [F.lit(template.bos.removeprefix(V.BOS)), F.array_join(rendered, "")]
+    bos = template.bos if add_generation_prompt else template.bos.removeprefix(V.BOS)
+    parts = [F.lit(bos), F.array_join(rendered, "")]
     if add_generation_prompt:
         parts.append(F.lit(template.opening("assistant")))
     return F.concat(*parts)

@@ -11,6 +11,10 @@ class TemplateError(ValueError):
     """A template is missing, names an unknown field or uses syntax that is not supported."""
 
 
+class UnknownFieldError(TemplateError):
+    """A template names a field that is not there."""
+
+
 def template_pieces(template: str) -> list[tuple[str, str | None]]:
     """(literal, field) pairs of a `{field}` template; doubled braces stand for themselves."""
     pieces = []
@@ -36,37 +40,20 @@ def fill_template(template: str, fields: Mapping[str, Column]) -> Column:
             parts.append(F.lit(literal))
         if name is not None:
             if name not in fields:
-                raise TemplateError(f"unknown field: {name}")
+                raise UnknownFieldError(f"unknown field: {name}")
             parts.append(fields[name])
     return F.concat(*parts) if parts else F.lit("")
 
 
 @dataclass(frozen=True)
 class PromptPool:
-    """User prompts to draw from. `about_title` takes {title}, `about_date` takes {date}."""
+    """User prompts to draw from, all brought by the caller. `about_title` takes {title}, `about_date` takes {date}."""
 
-    identity: Sequence[str] = (
-        "Could you say who you are?",
-        "Describe yourself in a few words.",
-        "By which name do people call you?",
-        "Please present yourself.",
-    )
-    about_title: Sequence[str] = (
-        "Which memories come up when you think of {title}?",
-        "I would like to hear about {title}.",
-        "How did you live through {title}?",
-    )
-    open_ended: Sequence[str] = (
-        "What has kept you busy these days?",
-        "Which thought will not leave you alone?",
-        "In what mood are you at the moment?",
-        "How did you spend the last days?",
-    )
-    greetings: Sequence[str] = ("Hello there!", "Good to see you, all well?", "Any news?")
-    about_date: Sequence[str] = (
-        "How did you spend {date}?",
-        "I would like to hear about {date}.",
-    )
+    identity: Sequence[str]
+    about_title: Sequence[str]
+    open_ended: Sequence[str]
+    greetings: Sequence[str]
+    about_date: Sequence[str]
 
     def candidates(self, title: Column, long_date: Column) -> Column:
         """All prompts that fit one memory, in order; the dated ones only where there is a date."""
@@ -82,14 +69,3 @@ class PromptPool:
             F.array(*always), F.when(long_date.isNotNull(), F.array(*dated)).otherwise(none)
         )
 
-
-DEFAULT_POOL = PromptPool()
-
-DEFAULT_PERSONA_TEMPLATE = (
-    "Speak as {name}, aged {age}, {gender}, whose home is {location} in {country}.\n"
-    "Background: {bio}\n"
-    "Pastimes: {hobbies}\n"
-    "Likes: {favorites}"
-)
-DEFAULT_STRUCTURE = "Answer in the first person, in your own voice, and rely on what you remember."
-DEFAULT_FALLBACK_PROMPT = "Be a kind and helpful partner in conversation."

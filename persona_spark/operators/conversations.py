@@ -6,7 +6,6 @@ from persona_spark.functions import chat
 from persona_spark.functions import pages as P
 from persona_spark.functions import values as V
 from persona_spark.functions.templates import (
-    DEFAULT_POOL,
     PromptPool,
     TemplateError,
     fill_template,
@@ -51,7 +50,7 @@ def persona_prompt(personas: DataFrame, template: str | None, structure: str | N
     return personas.select("persona_id", prompt.alias("system_prompt"))
 
 
-def prompt_candidates(memories: DataFrame, pool: PromptPool = DEFAULT_POOL) -> DataFrame:
+def prompt_candidates(memories: DataFrame, pool: PromptPool) -> DataFrame:
     """Adds `candidates`, the ordered user prompts that fit the memory."""
     long_date = F.date_format(P.created_date(F.col("created_time")), V.LONG_DATE)
     return memories.withColumn("candidates", pool.candidates(F.col("title"), long_date))

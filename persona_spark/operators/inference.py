@@ -5,8 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from persona_spark.functions import chat
 from persona_spark.functions import values as V
 from persona_spark.functions.templates import (
-    DEFAULT_FALLBACK_PROMPT,
-    TemplateError,
+    UnknownFieldError,
     fill_template,
 )
 from persona_spark.functions.text import has_text, truthy_text
@@ -20,14 +19,16 @@ def inference_requests(
     personas: DataFrame,
     template: str | None,
     structure: str | None = None,
-    fallback: str = DEFAULT_FALLBACK_PROMPT,
+    *,
+    fallback: str,
 ) -> DataFrame:
     """Adds `messages`, the optional system and the user message of each question.
 
     `questions` has question_id, persona_id, message and perhaps system_prompt, which overrides the
     template. Only the eight known persona fields count here; a template that names another one is
-    sent as it stands, as is the template of a question without a persona. Blank questions are
-    skipped and a blank system text is left out.
+    sent as it stands, as is the template of a question without a persona; any other fault in a template is
+    an error. Without a template the system text is `fallback`. Blank questions are skipped and a blank
+    system text is left out.
     """
     asked = questions.where(has_text(F.col("message")))
     if template:
@@ -35,7 +36,7 @@ def inference_requests(
             filled = fill_template(template, persona_fields(personas, extras=False))
             if structure:
                 filled = F.concat(filled, F.lit("\n\n" + structure))
-        except TemplateError:
+        except UnknownFieldError:
             filled = F.lit(template)
         prompts = personas.select("persona_id", filled.alias("_filled"))
         asked = lookup_join(asked, prompts, ["persona_id"], "left", spread=["question_id"])

@@ -38,8 +38,8 @@ def resolve_runs(requests: DataFrame, full_label: str = V.FULL_TUNING_LABEL) ->
 
 
 def age_text(age: Column) -> Column:
-    """A number as the text of its whole part; missing and zero give an empty text."""
-    return F.coalesce(F.nullif(age.cast("double"), F.lit(0.0)).cast("bigint").cast("string"), F.lit(""))
+    """A number as the text of its whole part; missing, zero and what is no number give an empty text."""
+    return F.coalesce(F.nullif(age.try_cast("double"), F.lit(0.0)).try_cast("bigint").cast("string"), F.lit(""))
 
 
 def clamp_settings(settings: DataFrame, rules: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ def defaults_for_runs(runs: DataFrame, defaults=V.DEFAULT_SETTINGS) -> DataFrame
     rows = F.array(
         *[F.struct(*[F.lit(v).alias(c) for c, v in zip(V.SETTING_COLUMNS, row)]) for row in defaults]
     )
-    return runs.select("run_id", F.explode(rows).alias("s")).select("run_id", "s.*")
+    return runs.select("run_id").distinct().select("run_id", F.explode(rows).alias("s")).select("run_id", "s.*")
 
 
 def dotted_updates(updates: DataFrame) -> DataFrame:
@@ -103,22 +103,28 @@ def dotted_updates(updates: DataFrame) -> DataFrame:
 
 
 def layered_settings(defaults: DataFrame, *layers: DataFrame) -> DataFrame:
-    """(run_id, section, key, value): later layers win key by key, keys of any layer are kept."""
+    """(run_id, section, key, value): later layers win key by key, also with a
+    null; keys of any layer are kept. Of equal keys in one layer the largest value counts."""
     ranked = [
         layer.select("run_id", "section", "key", "value", F.lit(rank).alias("_rank"))
         for rank, layer in enumerate((defaults, *layers))
     ]
-    stacked = reduce(DataFrame.unionByName, ranked).where(F.col("value").isNotNull())
-    return stacked.groupBy("run_id", "section", "key").agg(F.max_by("value", "_rank").alias("value"))
+    stacked = reduce(DataFrame.unionByName, ranked)
+    last = F.max(F.struct("_rank", "value"))["value"]
+    return stacked.groupBy("run_id", "section", "key").agg(last.alias("value"))
 
 
 def run_summary(run_log: DataFrame) -> DataFrame:
     """Per run the last step and what its last log entry says; 0 where that entry lacks a figure.
-    `last_seen_loss` is the newest loss that was logged at all."""
-    loss, rate, step = F.col("loss"), F.col("learning_rate"), F.col("step")
+    `last_seen_loss` is the newest loss that was logged at all. Entries of one step are told apart by
+    `entry_no`, if the log has it, and both figures come from one entry; rows may lie in any order."""
+    loss, step = F.col("loss"), F.col("step")
+    entry = F.col("entry_no") if "entry_no" in run_log.columns else F.lit(0)
+    place = F.struct(step.alias("step"), entry.alias("entry_no"), "loss", "learning_rate")
+    last = F.max(place)
     return run_log.groupBy("run_id").agg(
         F.max(step).alias("current_step"),
-        F.coalesce(F.max_by(loss, step), F.lit(0.0)).alias("loss"),
-        F.coalesce(F.max_by(rate, step), F.lit(0.0)).alias("learning_rate"),
-        F.max_by(loss, F.when(loss.isNotNull(), step)).alias("last_seen_loss"),
+        F.coalesce(last["loss"], F.lit(0.0)).alias("loss"),
+        F.coalesce(last["learning_rate"], F.lit(0.0)).alias("learning_rate"),
+        F.max(F.when(loss.isNotNull(), place))["loss"].alias("last_seen_loss"),
     )

@@ -61,13 +61,18 @@ def fetch_by_ids(store: DataFrame, ids: DataFrame, ordered: bool = True) -> tupl
 
     A request that fits is sent to the store's rows, which then stay where they are.
     """
+    found = found_by_ids(store, ids)
+    missing = lookup_join(ids, present_ids(store, ids), ["id"], "left_anti", ["id", "pos"], stage=True)
+    return (found.orderBy("pos") if ordered else found), missing
+
+
+def found_by_ids(store: DataFrame, ids: DataFrame) -> DataFrame:
+    """The found rows of a request (id, pos) alone, in no order."""
     if fits_broadcast(ids):
         found = store.join(F.broadcast(ids), "id")
     else:
         found = shuffle_join(ids, store, ["id"], "inner", spread=["id", "pos"])
-    found = found.select("id", "pos", *[c for c in store.columns if c != "id"])
-    missing = lookup_join(ids, present_ids(store, ids), ["id"], "left_anti", ["id", "pos"], stage=True)
-    return (found.orderBy("pos") if ordered else found), missing
+    return found.select("id", "pos", *[c for c in store.columns if c != "id"])
 
 
 def present_ids(store: DataFrame, ids: DataFrame) -> DataFrame:
@@ -75,8 +80,11 @@ def present_ids(store: DataFrame, ids: DataFrame) -> DataFrame:
     return lookup_join(store.select("id"), ids.select("id").distinct(), ["id"], "left_semi").distinct()
 
 
-def source_fallback(stored: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Stored memories, and the fresh ones of each persona for which nothing is stored."""
+def source_fallback(stored: DataFrame, fresh: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """Stored memories, and the fresh ones of each persona for which nothing is stored. With `chosen`, a table
+    of ids, only those among the fresh: what nobody chose is not trained on."""
+    if chosen is not None:
+        fresh = lookup_join(fresh, chosen.select("id").distinct(), ["id"], "left_semi", stage=True)
     have = stored.select("persona_id").distinct()
     return stored.unionByName(lookup_join(fresh, have, ["persona_id"], "left_anti", ["id"], stage=True))
 

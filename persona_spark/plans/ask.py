@@ -3,7 +3,6 @@
 from pyspark.sql import DataFrame
 
 from persona_spark.functions import chat
-from persona_spark.functions.templates import DEFAULT_PERSONA_TEMPLATE, DEFAULT_STRUCTURE
 from persona_spark.operators.inference import (
     extract_response,
     inference_requests,
@@ -15,12 +14,15 @@ from persona_spark.operators.inference import (
 def prepare_requests(
     questions: DataFrame,
     personas: DataFrame,
-    template: str | None = DEFAULT_PERSONA_TEMPLATE,
-    structure: str | None = DEFAULT_STRUCTURE,
+    template: str | None,
+    structure: str | None,
     chat_template: chat.ChatTemplate = chat.TURN_TEMPLATE,
+    *,
+    fallback: str,
 ) -> DataFrame:
     """Questions with `prompt`, and with their sampling settings put in order if they carry any."""
-    requests = request_texts(inference_requests(questions, personas, template, structure), chat_template)
+    asked = inference_requests(questions, personas, template, structure, fallback=fallback)
+    requests = request_texts(asked, chat_template)
     return sampling_params(requests) if "temperature" in questions.columns else requests
 
 

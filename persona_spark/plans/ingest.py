@@ -17,5 +17,5 @@ def ingest_memories(responses: DataFrame) -> DataFrame:
 def browse_list(pages: DataFrame) -> DataFrame:
     """(persona_id, id, label, display_rank): what a person sees when choosing memories."""
     labels = display_label(display_title(pages)).select("persona_id", "id", "ingest_pos", "label")
-    ranks = display_order(pages).drop("ingest_pos")
-    return labels.join(ranks, ["persona_id", "id"]).select("persona_id", "id", "label", "display_rank")
+    ranks = display_order(pages)
+    return labels.join(ranks, ["persona_id", "id", "ingest_pos"]).select("persona_id", "id", "label", "display_rank")

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from persona_spark.scale import lookup_join
+from persona_spark.session import stage_table
 
 
 def log_read(spark: SparkSession, folder: str, glob: str = "*.log") -> DataFrame:
@@ -10,9 +11,10 @@ def log_read(spark: SparkSession, folder: str, glob: str = "*.log") -> DataFrame
 
     A file may be read in many splits. Rows carry a running number from the scan; the first one and
     the row count of each split give the number at which its lines start. Only these figures, one
-    row per split, are grouped by file, and they are small enough to send to the lines.
+    row per split, are grouped by file, and they are small enough to send to the lines. The lines are
+    written down once with their numbers, since a second reading may be split in another way.
     """
-    scan = (
+    lines = (
         spark.read.option("pathGlobFilter", glob)
         .option("lineSep", "\n")
         .text(folder)
@@ -25,6 +27,8 @@ def log_read(spark: SparkSession, folder: str, glob: str = "*.log") -> DataFrame
             F.monotonically_increasing_id().alias("_no"),
         )
     )
+    # Numbers and lines must come from one reading: another one may cut the files into other splits.
+    scan = stage_table(lines, "log-lines")
     splits = scan.groupBy("_path", "_block").agg(F.min("_no").alias("_first"), F.count("*").alias("_n"))
     earlier = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = splits.select(

@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from persona_spark.operators.store import fetch_by_ids, store_upsert
+from persona_spark.operators.store import found_by_ids, store_upsert
 
 
 def read_parquet_store(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
@@ -34,8 +34,7 @@ def store_read(store: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """All memories, or those asked for in a table (id, pos). An empty request means all."""
     if ids is None or ids.isEmpty():
         return store
-    found, _ = fetch_by_ids(store, ids, ordered=False)
-    return found
+    return found_by_ids(store, ids)
 
 
 def export_json(store: DataFrame, path: str, buckets: int = 64) -> None:

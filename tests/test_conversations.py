@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from persona_spark.functions import chat
-from persona_spark.functions.templates import DEFAULT_POOL, PromptPool, TemplateError
+from persona_checks.wording import POOL
+from persona_spark.functions.templates import PromptPool, TemplateError
 from persona_spark.operators import conversations as C
 from persona_spark.plans.build import build_training_set
 
@@ -31,8 +32,8 @@ def test_bad_templates(personas, template):
 
 def test_pool_shape(rows):
     df = rows("id STRING, title STRING, created_time STRING", ("a", "My DAY", "2025-03-04"), ("b", "T", "bad"))
-    dated, undated = C.prompt_candidates(df).orderBy("id").collect()
-    assert [len(g) for g in (DEFAULT_POOL.identity, DEFAULT_POOL.about_title, DEFAULT_POOL.open_ended, DEFAULT_POOL.greetings, DEFAULT_POOL.about_date)] == [4, 3, 4, 3, 2]
+    dated, undated = C.prompt_candidates(df, POOL).orderBy("id").collect()
+    assert [len(g) for g in (POOL.identity, POOL.about_title, POOL.open_ended, POOL.greetings, POOL.about_date)] == [4, 3, 4, 3, 2]
     assert (len(dated.candidates), len(undated.candidates)) == (16, 14)
     assert all("my day" in p for p in dated.candidates[4:7])
     assert all("March 04, 2025" in p for p in dated.candidates[14:])
@@ -46,7 +47,7 @@ def test_pick_does_not_depend_on_layout(spark):
     )
 
     def picks(d, seed=1):
-        return {r.id: r.user_prompt for r in C.pick_prompt(C.prompt_candidates(d), seed).collect()}
+        return {r.id: r.user_prompt for r in C.pick_prompt(C.prompt_candidates(d, POOL), seed).collect()}
 
     first = picks(df)
     assert first == picks(df.repartition(7).orderBy(F.rand(3)))
@@ -69,7 +70,7 @@ def test_conversation_keeps_the_memory_as_it_is(rows, personas):
         "id STRING, persona_id BIGINT, title STRING, content STRING, alt_content STRING, created_time STRING, ingest_pos BIGINT",
         ("a", 1, None, " text\n", None, None, 1), ("b", 9, None, "no such persona", None, None, 2), ("c", 1, None, " ", "x", None, 3),
     )
-    built = build_training_set(memories, personas, template="{name}", structure=None).collect()
+    built = build_training_set(memories, personas, template="{name}", structure=None, pool=POOL).collect()
     assert [r.id for r in built] == ["a"]
     system, user, assistant = built[0].conversations
     assert (system.role, system.content) == ("system", "Bob {age}")
@@ -88,7 +89,7 @@ def render(rows, messages, **options):
 def test_render_turns(rows):
     talk = [("system", "S "), ("user", "u1"), ("assistant", "a1"), ("user", "u2")]
     assert render(rows, talk, add_generation_prompt=True) == (
-        "<start_of_turn>user\nS\n\nu1<end_of_turn>\n<start_of_turn>model\na1<end_of_turn>\n"
+        "<bos><start_of_turn>user\nS\n\nu1<end_of_turn>\n<start_of_turn>model\na1<end_of_turn>\n"
         "<start_of_turn>user\nu2<end_of_turn>\n<start_of_turn>model\n"
     )
     assert render(rows, talk[1:2]) == "<start_of_turn>user\nu1<end_of_turn>\n"

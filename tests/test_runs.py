@@ -44,7 +44,7 @@ def test_layers(rows):
     typed = runs.dotted_updates(rows("run_id BIGINT, name STRING, value STRING", (1, "a.x", "2"), (1, "plain", "2"), (2, "a.b.c", "2")))
     got = {(r.run_id, r.section, r.key): r.value for r in runs.layered_settings(base, user, typed).collect()}
     assert got == {
-        (1, "a", "x"): "2", (1, "a", "y"): "0", (1, "b", "z"): "1", (2, "a", "x"): "0", (2, "a", "y"): "0", (2, "a", "b.c"): "2",
+        (1, "a", "x"): "2", (1, "a", "y"): "0", (1, "b", "z"): "1", (2, "a", "x"): None, (2, "a", "y"): "0", (2, "a", "b.c"): "2",
     }
 
 
@@ -55,3 +55,28 @@ def test_run_summary(rows):
     )
     got = {r.run_id: tuple(r)[1:] for r in runs.run_summary(log.repartition(4)).collect()}
     assert got == {1: (3, 0.0, 0.2, 0.4), 2: (9, 0.9, 0.0, 0.9), 3: (1, 0.0, 0.0, None)}
+
+
+def test_last_entry_counts_under_any_order(rows):
+    log = [(1, 5, 1, 0.9, 0.1), (1, 10, 2, 0.5, 0.2), (1, 10, 3, None, None), (2, 1, 1, None, 0.3)]
+    for entries in (log, log[::-1]):
+        got = runs.run_summary(rows("run_id INT, step INT, entry_no INT, loss DOUBLE, learning_rate DOUBLE", *entries))
+        assert sorted(map(tuple, got.collect())) == [(1, 10, 0.0, 0.0, 0.5), (2, 1, 0.0, 0.3, None)]
+
+
+def test_nulls_override_and_stay(rows):
+    schema = "run_id INT, section STRING, key STRING, value STRING"
+    got = runs.layered_settings(rows(schema, (1, "a", "k", "x"), (1, "a", "only", None)), rows(schema, (1, "a", "k", None)))
+    assert sorted(map(tuple, got.collect())) == [(1, "a", "k", None), (1, "a", "only", None)]
+
+
+def test_defaults_once_per_run(rows):
+    one = (("a", "k", "v"),)
+    assert [tuple(r) for r in runs.defaults_for_runs(rows("run_id INT", (1,), (1,)), one).collect()] == [(1, "a", "k", "v")]
+
+
+def test_age_that_is_no_number(rows):
+    df = rows("age STRING", ("ten",), ("7.9",), ("0",), (None,), ("nan",))
+    from pyspark.sql import functions as F
+
+    assert [r[0] for r in df.select(runs.age_text(F.col("age"))).collect()] == ["", "7", "", "", ""]

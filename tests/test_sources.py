@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from persona_spark.model import MEMORY
 from persona_spark.operators.store import stored_ids
-from persona_spark.plans.ingest import ingest_memories
+from persona_spark.plans.ingest import browse_list, ingest_memories
 from persona_spark.sources import dumps, logs, store, training_set
 from persona_spark.streaming import refresh as refresh_module
 from persona_spark.streaming.refresh import memory_store, refresh_stream, touched_responses
@@ -142,3 +142,20 @@ def test_a_batch_opens_only_its_own_dumps(spark, tmp_path, monkeypatch):
     assert "PartitionFilters: [isnotnull(dump_id" in scan and "= 2)" in scan
     monkeypatch.setattr(refresh_module, "NAMED_DUMPS", 0)
     assert [r.dump_id for r in touched_responses(batch, str(tmp_path)).collect()] == [2]
+
+
+def test_log_lines_survive_another_split_size(spark, tmp_path):
+    (tmp_path / "a.log").write_text("".join(f"line {i}\n" for i in range(50_000)))
+    lines = logs.log_read(spark, str(tmp_path))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        got = lines.selectExpr("count(*) AS n", "count(DISTINCT line_no) AS d", "sum(CAST(line = concat('line ', line_no - 1) AS INT)) AS ok").first()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert tuple(got) == (50_000, 50_000, 50_000)
+
+
+def test_copies_of_a_page_are_listed_once_each(rows):
+    schema = "id STRING, created_time STRING, properties MAP<STRING, STRING>, persona_id BIGINT, ingest_pos BIGINT"
+    pages = rows(schema, *[("a", "2025-01-02", {}, 1, i) for i in range(3)])
+    assert sorted(r.display_rank for r in browse_list(pages).collect()) == [1, 2, 3]
