@@ -6,10 +6,11 @@ from persona_spark.model import RESPONSE
 from persona_spark.scale import lookup_join
 
 # An ingest position is dump_id, response_no and the place in the response, side by side in one
-# BIGINT. A response lists at most 100 entries. Numbers that do not fit are an error.
-ENTRY_BITS = 10
-RESPONSE_BITS = 17
-DUMP_BITS = 36
+# BIGINT. A response lists at most 100 entries, and a dump may be numbered by the milliseconds of its
+# epoch. Numbers that do not fit are an error.
+ENTRY_BITS = 7
+RESPONSE_BITS = 14
+DUMP_BITS = 42
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
@@ -50,7 +51,9 @@ def complete_dumps(responses: DataFrame) -> DataFrame:
 
 
 def _checked(value: Column, bits: int, what: str) -> Column:
-    return F.when(value < (1 << bits), value).otherwise(F.raise_error(F.lit(f"too many {what}")))
+    fits = (value >= 0) & (value < (1 << bits))
+    message = F.concat(F.lit(f"no number of {what} from 0 to {(1 << bits) - 1}: "), F.coalesce(value.cast("string"), F.lit("null")))
+    return F.when(fits, value).otherwise(F.raise_error(message))
 
 
 def page_responses(responses: DataFrame) -> DataFrame:

@@ -9,25 +9,47 @@ from pyspark.sql.types import StringType, StructField, StructType
 from persona_spark.operators.store import found_by_ids, store_upsert
 
 
-def read_parquet_store(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
-    reader = spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+CORRUPT = "_corrupt"
+
+
+def read_parquet_store(
+    spark: SparkSession, path: str, schema: StructType | None = None, skip_broken: bool = False
+) -> DataFrame:
+    """A store in Parquet. A file that cannot be read ends the job, unless `skip_broken` leaves it out."""
+    skip = str(skip_broken).lower()
+    reader = spark.read.option("ignoreCorruptFiles", skip).option("ignoreMissingFiles", skip)
     return (reader.schema(schema) if schema else reader).parquet(path)
 
 
 def read_json_store(spark: SparkSession, path: str, schema: StructType, multi_line: bool = False) -> DataFrame:
     """Memories kept as JSON, one per line or (`multi_line`) one document per file. Documents that
-    cannot be parsed and files that vanish are passed over."""
-    corrupt = "_corrupt"
-    rows = (
-        spark.read.schema(StructType([*schema.fields, StructField(corrupt, StringType())]))
+    cannot be parsed are passed over, as `broken_documents` tells, and so are files that vanish."""
+    rows = _parsed(spark, path, schema, multi_line)
+    return rows.where(F.col(CORRUPT).isNull()).select(*schema.fieldNames())
+
+
+def broken_documents(spark: SparkSession, path: str, schema: StructType, multi_line: bool = False) -> DataFrame:
+    """(file, document) of what `read_json_store` passes over."""
+    whole = StructType([*schema.fields, StructField(CORRUPT, StringType())])
+    parsed = F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    return (
+        spark.read.text(path, wholetext=multi_line)
+        .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("document"), parsed[CORRUPT].alias("_bad"))
+        .where("_bad IS NOT NULL")
+        .select("file", "document")
+    )
+
+
+def _parsed(spark: SparkSession, path: str, schema: StructType, multi_line: bool) -> DataFrame:
+    return (
+        spark.read.schema(StructType([*schema.fields, StructField(CORRUPT, StringType())]))
         .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", corrupt)
+        .option("columnNameOfCorruptRecord", CORRUPT)
         .option("multiLine", str(multi_line).lower())
         .option("ignoreCorruptFiles", "true")
         .option("ignoreMissingFiles", "true")
         .json(path)
     )
-    return rows.where(F.col(corrupt).isNull()).select(*schema.fieldNames())
 
 
 def store_read(store: DataFrame, ids: DataFrame | None = None) -> DataFrame:

@@ -45,11 +45,16 @@ def test_only_whole_chains_count(spark, tmp_path):
 
 
 def test_a_response_larger_than_its_place_is_an_error(spark, tmp_path):
-    save(tmp_path, "a.json", response(1, 0, [{"id": str(i)} for i in range(1025)], False))
-    with pytest.raises(Exception, match="too many entries"):
+    save(tmp_path, "a.json", response(1, 0, [{"id": str(i)} for i in range(129)], False))
+    with pytest.raises(Exception, match="no number of entries in a response"):
         listed(spark, tmp_path)
 
 
+def test_dumps_numbered_by_milliseconds(spark, tmp_path):
+    save(tmp_path, "a.json", response(1764585600001, 0, [page("b", "")], False), response(1764585600000, 0, [page("a", "")], False))
+    assert [i for _, i in listed(spark, tmp_path)] == ["a", "b"]
+
+
 def test_ingest_takes_the_newest_page(spark, tmp_path):
     save(tmp_path, "a.json", response(1, 0, [page("a", "one"), {"id": "d", "object": "database"}], False))
     save(tmp_path, "b.json", response(2, 0, [page("a", "two"), page("", "none"), page("b", "x", _content="given")], False))
@@ -62,6 +67,16 @@ def test_json_store_passes_over_broken_documents(spark, tmp_path):
     (tmp_path / "b.json").write_text('{"id": "b", "content": ')
     got = store.read_json_store(spark, str(tmp_path), MEMORY, multi_line=True).collect()
     assert [(r.id, r.content) for r in got] == [("a", "ü")]
+    broken = store.broken_documents(spark, str(tmp_path), MEMORY, multi_line=True).collect()
+    assert [(r.file.rsplit("/", 1)[1], r.document) for r in broken] == [("b.json", '{"id": "b", "content": ')]
+
+
+def test_a_broken_parquet_file_is_no_silent_loss(spark, rows, tmp_path):
+    rows("id STRING", ("a",)).coalesce(1).write.parquet(str(tmp_path / "s"))
+    (tmp_path / "s" / "part-x.parquet").write_bytes(b"no parquet at all")
+    with pytest.raises(Exception):
+        store.read_parquet_store(spark, str(tmp_path / "s"), "id STRING").count()
+    assert store.read_parquet_store(spark, str(tmp_path / "s"), "id STRING", skip_broken=True).count() == 1
 
 
 def test_store_read(spark, rows, tmp_path):
