@@ -71,15 +71,15 @@ class WordBpe:
         try:
             return list(chain.from_iterable(map(known.__getitem__, words)))
         except KeyError:
+            if len(known) > MAX_REMEMBERED:  # before it is seen which words are missing
+                for word in list(islice(known, MAX_REMEMBERED // 2, None)):
+                    del known[word]
             self._learn([w for w in set(words) if w not in known])
             return list(chain.from_iterable(map(known.__getitem__, words)))
 
     def _learn(self, new: list[str]) -> None:
         """Encode words by one call: spaces keep them apart, and the last token of each carries the mark of a word's end."""
         known = self._known
-        if len(known) > MAX_REMEMBERED:
-            for word in list(islice(known, MAX_REMEMBERED // 2, None)):
-                del known[word]
         ids = self.encode_whole(" ".join(new))
         ends = [k for k, i in enumerate(ids, 1) if self._closes[i]]
         if len(ends) != len(new):  # a vocabulary without such marks

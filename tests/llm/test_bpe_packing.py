@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from persona_spark.llm import chunk_bpe, packing
+from persona_spark.llm import chunk_bpe, packing, word_bpe as word_bpe_module
 from persona_spark.llm.word_bpe import word_bpe
 
 ALPHABET = "abcXYZ'’ \n\t.,!09éÉß²½_\x1c\x85\xa0´ıİsStTrReEvVmMlLdD'''   <|>Σσς́"
@@ -32,6 +32,14 @@ def test_encoder_equals_library(library, text):
     assert bpe.decode(bpe.encode(text)) == library.decode(bpe.encode(text), skip_special_tokens=False)
 
 
+def test_forgotten_words_are_learned_again(library, monkeypatch):
+    monkeypatch.setattr(word_bpe_module, "MAX_REMEMBERED", 20)
+    bpe, chance = word_bpe_module.WordBpe(public_tokenizers.path("word_bpe_49k.json")), random.Random(4)
+    for _ in range(200):
+        text = " ".join(f"w{chance.choice('abcdefgh')}{chance.choice('ijklmnop')}x" for _ in range(12))
+        assert bpe.encode(text) == ids_of(library, text)
+
+
 def test_control_strings_are_left_to_the_library(library):
     text = "a <|endoftext|> b <|startoftext|>"
     assert word_bpe().encode(text) == ids_of(library, text)
