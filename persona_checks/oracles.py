@@ -286,6 +286,25 @@ SELECT c.persona_id, c.label, l.id FROM choices c LEFT JOIN label_ids l ON l.per
         FROM plans p LEFT JOIN registry r ON r.id = p.model_id""",
         "run_requests", "plans", "registry",
     ),
+    "effective_settings": with_views(
+        f"""
+, layers AS (SELECT run_id, d.section, d.key, d.value, 0 AS rank FROM user_settings CROSS JOIN defaults d
+  UNION ALL SELECT run_id, section, key, value, 1 FROM user_settings
+  UNION ALL SELECT run_id, split_part(name, '.', 1), substr(name, instr(name, '.') + 1), value, 2 FROM updates WHERE contains(name, '.'))
+, settled AS (SELECT run_id, section, key, value FROM layers
+  QUALIFY row_number() OVER (PARTITION BY run_id, section, key ORDER BY rank DESC) = 1)
+, own AS (SELECT s.* FROM settled s JOIN plans p USING (run_id) WHERE NOT (p.full_tuning AND s.section = 'lora'))
+, stacked AS (SELECT *, 0 AS rank FROM own
+  UNION ALL SELECT run_id, 'training', key, value, 1 FROM own WHERE section = 'unsloth'
+  UNION ALL SELECT a.run_id, 'lora', t.key, CASE WHEN u.run_id IS NULL THEN t.value ELSE u.value END, 2
+    FROM (SELECT DISTINCT run_id FROM own WHERE section = 'lora') a
+    JOIN (SELECT DISTINCT run_id FROM own WHERE section = 'unsloth') b USING (run_id)
+    CROSS JOIN (VALUES {', '.join(f"({text(k)}, {text(v)})" for k, v in V.ADAPTER_TAKES)}) t(key, value)
+    LEFT JOIN own u ON u.run_id = a.run_id AND u.section = 'unsloth' AND u.key = t.key)
+SELECT run_id, section, key, value FROM stacked
+QUALIFY row_number() OVER (PARTITION BY run_id, section, key ORDER BY rank DESC) = 1""",
+        "user_settings", "updates", "run_requests", "defaults", "plans",
+    ),
     "layered_settings": with_views(
         """
 , layers AS (SELECT run_id, d.section, d.key, d.value, 0 AS rank FROM user_settings CROSS JOIN defaults d

@@ -366,6 +366,13 @@ def model_lookup(t):
     return runs.model_lookup(plans, t["registry"])
 
 
+@query
+def effective_settings(t):
+    defaults = runs.defaults_for_runs(t["user_settings"])
+    settings = runs.layered_settings(defaults, t["user_settings"], runs.dotted_updates(t["updates"]))
+    return runs.effective_settings(settings, runs.resolve_runs(t["run_requests"]))
+
+
 @query
 def layered_settings(t):
     defaults = runs.defaults_for_runs(t["user_settings"])

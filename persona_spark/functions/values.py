@@ -97,6 +97,16 @@ SETTING_RULES = (
     ("huggingface", "private", "bool", "false", None),
 )
 
+# What adapter runs take over from the section of the speed-up library, and its stand-ins.
+SPEEDUP_SECTION = "unsloth"
+ADAPTER_SECTION = "lora"
+TRAINING_SECTION = "training"
+ADAPTER_TAKES = (
+    ("use_gradient_checkpointing", "unsloth"),
+    ("use_rslora", "false"),
+    ("use_loftq", "false"),
+)
+
 # Settings every run starts from (section, key, value).
 SETTING_COLUMNS = ("section", "key", "value")
 DEFAULT_SETTINGS = (

@@ -114,6 +114,43 @@ def layered_settings(defaults: DataFrame, *layers: DataFrame) -> DataFrame:
     return stacked.groupBy("run_id", "section", "key").agg(last.alias("value"))
 
 
+def effective_settings(settings: DataFrame, plans: DataFrame) -> DataFrame:
+    """(run_id, section, key, value) as a run uses them, from its settings and `plans` (run_id, full_tuning).
+
+    All values of the speed-up section go over those for training. Three of them go over the adapter's, missing
+    ones as their stand-ins, where a run has both sections. Runs tuned in full have no adapter section. Settings of
+    runs without a plan are left out; a run counts once however often it is planned.
+    """
+    modes = plans.groupBy("run_id").agg(F.max("full_tuning").alias("_full"))
+    known = lookup_join(settings, modes, ["run_id"], "inner", spread=["section", "key"])
+    own = known.where(~(F.col("_full") & (F.col("section") == V.ADAPTER_SECTION))).drop("_full")
+    speedup = own.where(F.col("section") == V.SPEEDUP_SECTION)
+    over_training = speedup.withColumn("section", F.lit(V.TRAINING_SECTION))
+    names = [k for k, _ in V.ADAPTER_TAKES]
+    both = (
+        own.where(F.col("section").isin(V.ADAPTER_SECTION, V.SPEEDUP_SECTION))
+        .groupBy("run_id")
+        .agg(
+            F.count_distinct("section").alias("_sections"),
+            *[
+                F.max(F.when((F.col("section") == V.SPEEDUP_SECTION) & (F.col("key") == k), F.struct("value"))).alias(k)
+                for k in names
+            ],
+        )
+        .where("_sections = 2")
+    )
+    taken = F.array(
+        *[
+            F.struct(F.lit(k).alias("key"), F.when(F.col(k).isNull(), F.lit(v)).otherwise(F.col(k)["value"]).alias("value"))
+            for k, v in V.ADAPTER_TAKES
+        ]
+    )
+    over_adapter = both.select(
+        "run_id", F.lit(V.ADAPTER_SECTION).alias("section"), F.explode_outer(taken).alias("_t")
+    ).select("run_id", "section", "_t.*")
+    return layered_settings(own, over_training, over_adapter)
+
+
 def run_summary(run_log: DataFrame) -> DataFrame:
     """Per run the last step and what its last log entry says; 0 where that entry lacks a figure.
     `last_seen_loss` is the newest loss that was logged at all. Entries of one step are told apart by

@@ -80,3 +80,17 @@ def test_age_that_is_no_number(rows):
     from pyspark.sql import functions as F
 
     assert [r[0] for r in df.select(runs.age_text(F.col("age"))).collect()] == ["", "7", "", "", ""]
+
+
+def test_effective_settings(rows):
+    schema = "run_id INT, section STRING, key STRING, value STRING"
+    settings = rows(
+        schema, (1, "lora", "r", "8"), (1, "lora", "use_rslora", "false"), (1, "unsloth", "use_rslora", "true"), (1, "unsloth", "packing", None),
+        (1, "training", "packing", "x"), (2, "lora", "r", "8"), (2, "unsloth", "packing", "y"), (3, "lora", "r", "4"), (4, "lora", "r", "1"),
+    )
+    plans = rows("run_id INT, full_tuning BOOLEAN", (1, False), (1, False), (2, True), (3, False))
+    assert sorted(map(tuple, runs.effective_settings(settings, plans).collect()), key=str) == sorted([
+        (1, "lora", "r", "8"), (1, "lora", "use_rslora", "true"), (1, "lora", "use_gradient_checkpointing", "unsloth"), (1, "lora", "use_loftq", "false"),
+        (1, "unsloth", "use_rslora", "true"), (1, "unsloth", "packing", None), (1, "training", "use_rslora", "true"), (1, "training", "packing", None),
+        (2, "unsloth", "packing", "y"), (2, "training", "packing", "y"), (3, "lora", "r", "4"),
+    ], key=str)
