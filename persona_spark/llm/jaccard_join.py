@@ -231,12 +231,15 @@ def link_components(docs: DataFrame, narrow: DataFrame, counts: DataFrame) -> Da
     # Sets in long lists are joined among themselves once more, in an order by exact frequencies.
     crowded = first.filter(F.col("_in") > LONG_LIST).select("sig").distinct()
     dense = dense_lists(stage_table(crowded, "crowded"), docs, narrow)
-    lists = stage_table(first.filter(F.col("_in") <= LONG_LIST).unionByName(dense), "lists")
+    rough = first.filter(F.col("_in") <= LONG_LIST).withColumn("_dense", F.lit(False))
+    lists = stage_table(rough.unionByName(dense.withColumn("_dense", F.lit(True))), "lists")
     # A set that is in many and long lists is the hub of all of them, so that a group is compared with few hubs.
     scores = lists.groupBy("sig").agg(F.sum("_in").alias("score"))
     lists = lists.drop("_in").join(scores, "sig")
-    # Lists with the same members: the earliest in the order, which leaves most to share, stands for all of them.
+    # Lists of one order with the same members: the earliest, which leaves most to share, stands for all of them. A
+    # subset leaves all, so it may stand for rough lists too; a list of another order may come late for some members.
     alike = lists.groupBy("key").agg(
+        F.first("_dense").alias("_dense"),
         F.count("*").alias("_n"),
         F.bit_xor(F.xxhash64("sig")).alias("_x"),
         F.min("sig").alias("_m"),
@@ -244,12 +247,12 @@ def link_components(docs: DataFrame, narrow: DataFrame, counts: DataFrame) -> Da
         F.max(F.struct("score", "sig", "n", "rest")).alias("hub"),
         F.min("n").alias("least"),
     )
-    kept = alike.groupBy("_n", "_x", "_m").agg(F.max_by(F.struct("key", "hub", "least"), "_rest").alias("k"))
+    kept = alike.groupBy("_dense", "_n", "_x", "_m").agg(F.max_by(F.struct("key", "hub", "least"), "_rest").alias("k"))
     hubs = stage_table(
         kept.select("k.key", F.col("k.hub.sig").alias("hub"), F.col("k.hub.n").alias("hub_n"), F.col("k.hub.rest").alias("hub_rest"), "k.least"),
         "hubs",
     )
-    members = stage_table(lists.join(hubs, "key"), "members")
+    members = stage_table(lists.drop("_dense").join(hubs, "key"), "members")
     first = (
         members.filter(F.col("sig") != F.col("hub"))
         .filter(_may_link("n", "rest", "hub_n", "hub_rest"))

@@ -209,6 +209,22 @@ class TestJaccardJoin:
         assert kept.columns == docs.columns
         assert {r.doc_id for r in kept.collect()} == {c for n, c in plain_components(texts).values()}
 
+    def test_families_in_a_group_of_over_32_near_copies(self, rows):
+        """Two of each family link by their edit alone; the third, with more text, is in the same lists."""
+        chance, texts = random.Random(2), {}
+        for family in range(24):
+            whole = [f"w{k}" for k in range(100)]
+            edit, *filled = chance.sample(range(8, 92, 8), 3)
+            whole[edit] = f"edit{family}"
+            for member in range(3):
+                own = [f"own{family}.{member}.{k}" if k in filled else w for k, w in enumerate(whole)]
+                more = [f"more{family}.{k}" for k in range(11)] if member == 2 else []
+                texts[len(texts)] = " ".join(own + more)
+        found = jaccard_join.jaccard_join(rows("doc_id long, text string", *texts.items())).collect()
+        expected = plain_components(texts)
+        assert len(texts) - len({c for _, c in expected.values()}) == 24
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == expected
+
     def test_small_sets_have_no_more_subsets_than_allowed(self):
         assert jaccard_join.size_boundary(0) >= 1
         for mean in (0, 10, 1e3, 1e9):
