@@ -13,40 +13,53 @@ RESPONSE_BITS = 14
 DUMP_BITS = 42
 
 
-def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Response dumps in JSON lines; files that cannot be read are passed over, and the chains they
-    belong to are then found incomplete. Dumps may lie in `dump_id=...` folders."""
+def read_responses(spark: SparkSession, path: str, skip_broken: bool = False) -> DataFrame:
+    """Response dumps in JSON lines. A file that cannot be read ends the job, unless `skip_broken` leaves
+    it out; the chains it belongs to are then found incomplete. Dumps may lie in `dump_id=...` folders."""
+    skip = str(skip_broken).lower()
     return (
         spark.read.schema(RESPONSE)
         .option("mode", "PERMISSIVE")
-        .option("ignoreCorruptFiles", "true")
-        .option("ignoreMissingFiles", "true")
+        .option("ignoreCorruptFiles", skip)
+        .option("ignoreMissingFiles", skip)
         .json(path)
     )
 
 
-def complete_dumps(responses: DataFrame) -> DataFrame:
-    """(dump_id) of the chains that are there from the first response to one without a next."""
+def _chains(responses: DataFrame) -> DataFrame:
     last = F.max("response_no")
     number = F.count_distinct("response_no")
-    return (
-        responses.groupBy("dump_id")
-        .agg(
-            number.alias("_distinct"),
-            F.count("*").alias("_n"),
-            last.alias("_last"),
-            F.count_if(F.coalesce("has_more", F.lit(False))).alias("_more"),
-            F.max_by(F.coalesce("has_more", F.lit(False)), "response_no").alias("_open"),
-            F.count_if(F.col("response_no").isNull()).alias("_broken"),
-        )
-        .where(
-            (F.col("_broken") == 0)
-            & (F.col("_distinct") == F.col("_last") + 1)
-            & (F.col("_n") == F.col("_distinct"))
-            & (F.col("_more") == F.col("_last"))
-            & ~F.col("_open")
-        )
-        .select("dump_id")
+    return responses.groupBy("dump_id").agg(
+        number.alias("_distinct"),
+        F.count("*").alias("_n"),
+        last.alias("_last"),
+        F.count_if(F.coalesce("has_more", F.lit(False))).alias("_more"),
+        F.max_by(F.coalesce("has_more", F.lit(False)), "response_no").alias("_open"),
+        F.count_if(F.col("response_no").isNull()).alias("_broken"),
+    )
+
+
+def _whole() -> Column:
+    whole = (
+        (F.col("_broken") == 0)
+        & (F.col("_distinct") == F.col("_last") + 1)
+        & (F.col("_n") == F.col("_distinct"))
+        & (F.col("_more") == F.col("_last"))
+        & ~F.col("_open")
+    )
+    return F.coalesce(whole, F.lit(False))
+
+
+def complete_dumps(responses: DataFrame) -> DataFrame:
+    """(dump_id) of the chains that are there from the first response to one without a next."""
+    return _chains(responses).where(_whole()).select("dump_id")
+
+
+def incomplete_dumps(responses: DataFrame) -> DataFrame:
+    """(dump_id, n_responses, last_response, n_broken) of the chains that `page_responses` leaves out. Lines
+    that cannot be parsed are `n_broken`; they have no dump_id unless their folder gives it."""
+    return _chains(responses).where(~_whole()).select(
+        "dump_id", F.col("_n").alias("n_responses"), F.col("_last").alias("last_response"), F.col("_broken").alias("n_broken")
     )
 
 
@@ -59,7 +72,7 @@ def _checked(value: Column, bits: int, what: str) -> Column:
 def page_responses(responses: DataFrame) -> DataFrame:
     """Entries of all complete chains in the order they were listed, as `ingest_pos`.
 
-    A chain that lacks a response, or whose last response announces another one, gives nothing.
+    A chain that lacks a response, or whose last response announces another one, gives nothing; `incomplete_dumps` lists it.
     """
     whole = lookup_join(
         responses, complete_dumps(responses), ["dump_id"], "left_semi", ["response_no"], stage=True

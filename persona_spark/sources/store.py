@@ -21,15 +21,19 @@ def read_parquet_store(
     return (reader.schema(schema) if schema else reader).parquet(path)
 
 
-def read_json_store(spark: SparkSession, path: str, schema: StructType, multi_line: bool = False) -> DataFrame:
+def read_json_store(
+    spark: SparkSession, path: str, schema: StructType, multi_line: bool = False, skip_broken: bool = False
+) -> DataFrame:
     """Memories kept as JSON, one per line or (`multi_line`) one document per file. Documents that
-    cannot be parsed are passed over, as `broken_documents` tells, and so are files that vanish."""
-    rows = _parsed(spark, path, schema, multi_line)
+    cannot be parsed are passed over, as `broken_documents` tells. A file that cannot be read or
+    vanishes ends the job, unless `skip_broken` leaves it out."""
+    rows = _parsed(spark, path, schema, multi_line, skip_broken)
     return rows.where(F.col(CORRUPT).isNull()).select(*schema.fieldNames())
 
 
 def broken_documents(spark: SparkSession, path: str, schema: StructType, multi_line: bool = False) -> DataFrame:
-    """(file, document) of what `read_json_store` passes over."""
+    """(file, document) of the documents that `read_json_store` cannot parse. Files that cannot be read
+    are not among them: they end this job too."""
     whole = StructType([*schema.fields, StructField(CORRUPT, StringType())])
     parsed = F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     return (
@@ -40,14 +44,15 @@ def broken_documents(spark: SparkSession, path: str, schema: StructType, multi_l
     )
 
 
-def _parsed(spark: SparkSession, path: str, schema: StructType, multi_line: bool) -> DataFrame:
+def _parsed(spark: SparkSession, path: str, schema: StructType, multi_line: bool, skip_broken: bool) -> DataFrame:
+    skip = str(skip_broken).lower()
     return (
         spark.read.schema(StructType([*schema.fields, StructField(CORRUPT, StringType())]))
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
         .option("multiLine", str(multi_line).lower())
-        .option("ignoreCorruptFiles", "true")
-        .option("ignoreMissingFiles", "true")
+        .option("ignoreCorruptFiles", skip)
+        .option("ignoreMissingFiles", skip)
         .json(path)
     )
 

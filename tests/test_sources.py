@@ -1,3 +1,4 @@
+import gzip
 import json
 
 import pytest
@@ -79,6 +80,27 @@ def test_a_broken_parquet_file_is_no_silent_loss(spark, rows, tmp_path):
     assert store.read_parquet_store(spark, str(tmp_path / "s"), "id STRING", skip_broken=True).count() == 1
 
 
+def test_a_broken_json_file_is_no_silent_loss(spark, tmp_path):
+    whole = gzip.compress("".join(json.dumps({"id": str(i), "ingest_pos": i}) + "\n" for i in range(5000)).encode())
+    for name, data in (("a", whole), ("b", whole[: len(whole) // 2])):
+        (tmp_path / "s").mkdir(exist_ok=True)
+        (tmp_path / "s" / f"{name}.json.gz").write_bytes(data)
+    with pytest.raises(Exception):
+        store.read_json_store(spark, str(tmp_path / "s"), MEMORY).collect()
+    assert 5000 <= len(store.read_json_store(spark, str(tmp_path / "s"), MEMORY, skip_broken=True).collect()) < 10_000
+
+
+def test_a_broken_dump_file_is_no_silent_loss(spark, tmp_path):
+    save(tmp_path / "d", "a.json", response(1, 0, [page("a", "")], False), response(2, 0, [page("b", "")], True))
+    rest = gzip.compress("".join(json.dumps(response(2, 1, [page(f"{i}", f"{i * i}") for i in range(100)], False)) + "\n").encode())
+    (tmp_path / "d" / "b.json.gz").write_bytes(rest[: len(rest) // 2])
+    with pytest.raises(Exception):
+        listed(spark, tmp_path / "d")
+    read = dumps.read_responses(spark, str(tmp_path / "d"), skip_broken=True)
+    assert [r.id for r in dumps.page_responses(read).collect()] == ["a"]
+    assert [(r.dump_id, r.n_responses, r.last_response, r.n_broken) for r in dumps.incomplete_dumps(read).collect()] == [(2, 1, 0, 0)]
+
+
 def test_store_read(spark, rows, tmp_path):
     rows("id STRING, content STRING", ("a", "A"), ("b", "B")).write.parquet(str(tmp_path / "s"))
     held = store.read_parquet_store(spark, str(tmp_path / "s"))
