@@ -57,10 +57,15 @@ def saved_responses(t: Tables) -> DataFrame:
     return dumps.read_responses(t.spark, path)
 
 
+def whole_position():
+    """Positions of the saved responses have no fraction: their chains are short."""
+    return F.col("ingest_pos").cast("bigint").alias("ingest_pos")
+
+
 @query
 def page_responses(t):
     out = dumps.page_responses(saved_responses(t))
-    return out.select("dump_id", "persona_id", "ingest_pos", "id", "created_time")
+    return out.select("dump_id", "persona_id", whole_position(), "id", "created_time")
 
 
 @query
@@ -466,7 +471,7 @@ def refresh_stream(t):
     start_refresh(
         t.spark, f"{root}/in", f"{root}/store", f"{root}/checkpoint", files_per_batch=4
     ).awaitTermination()
-    return memory_store(t.spark, f"{root}/store").read().select("id", "persona_id", "alt_content", "ingest_pos")
+    return memory_store(t.spark, f"{root}/store").read().select("id", "persona_id", "alt_content", whole_position())
 
 
 # --- whole flows ---
@@ -474,7 +479,7 @@ def refresh_stream(t):
 
 @query
 def ingest_memories(t):
-    return ingest.ingest_memories(saved_responses(t)).select("id", "persona_id", "alt_content", "ingest_pos")
+    return ingest.ingest_memories(saved_responses(t)).select("id", "persona_id", "alt_content", whole_position())
 
 
 @query

@@ -28,6 +28,9 @@ RESPONSE = T.StructType(
     ]
 )
 
+#: An ingest position, see `sources.dumps`.
+POSITION = T.DecimalType(38, 9)
+
 MEMORY = T.StructType(
     [
         T.StructField("id", T.StringType()),
@@ -36,7 +39,7 @@ MEMORY = T.StructType(
         T.StructField("content", T.StringType()),
         T.StructField("alt_content", T.StringType()),
         T.StructField("created_time", T.StringType()),
-        T.StructField("ingest_pos", T.LongType()),
+        T.StructField("ingest_pos", POSITION),
     ]
 )
 

@@ -1,16 +1,23 @@
 """Saved responses of a paged listing as note pages."""
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from persona_spark.model import RESPONSE
+from persona_spark.model import POSITION, RESPONSE
 from persona_spark.scale import lookup_join
 
-# An ingest position is dump_id, response_no and the place in the response, side by side in one
-# BIGINT. A response lists at most 100 entries, and a dump may be numbered by the milliseconds of its
-# epoch. Numbers that do not fit are an error.
+# An ingest position is a DECIMAL: DUMP_STEP for a dump, RESPONSE_STEP for each of its first FINE_FROM
+# responses and 1 for an entry. From then on a response takes 2^ENTRY_BITS of the smallest fraction and
+# an entry one, so that all dump numbers and chains of any length that can be stored have places.
+# A response lists at most 100 entries; more than 2^ENTRY_BITS are an error.
+DUMP_STEP = 1 << 27
+RESPONSE_STEP = 1 << 10
+FINE_FROM = 1 << 16
+FRACTION = 9
 ENTRY_BITS = 7
-RESPONSE_BITS = 14
-DUMP_BITS = 42
+RESPONSE_BITS = 48
+DUMP_BITS = 63
 
 
 def read_responses(spark: SparkSession, path: str, skip_broken: bool = False) -> DataFrame:
@@ -64,11 +71,25 @@ def incomplete_dumps(responses: DataFrame) -> DataFrame:
 
 
 def _checked(value: Column, bits: int, what: str) -> Column:
-    fits = (value >= 0) & (value < (1 << bits))
+    fits = (value >= 0) & (value <= (1 << bits) - 1)
     message = F.concat(F.lit(f"no number of {what} from 0 to {(1 << bits) - 1}: "), F.coalesce(value.cast("string"), F.lit("null")))
     return F.when(fits, value).otherwise(F.raise_error(message))
 
 
+def ingest_position() -> Column:
+    """The place of an entry among all entries of all dumps, from dump_id, response_no and _entry_no."""
+    dump = _checked(F.col("dump_id"), DUMP_BITS, "dumps")
+    no = _checked(F.col("response_no"), RESPONSE_BITS, "responses in a dump")
+    entry = _checked(F.col("_entry_no").cast("bigint"), ENTRY_BITS, "entries in a response")
+    fine = no >= FINE_FROM
+    whole = F.least(no, F.lit(FINE_FROM)) * RESPONSE_STEP + F.when(fine, 0).otherwise(entry)
+    parts = F.when(fine, F.shiftleft(no - FINE_FROM, ENTRY_BITS) + entry).otherwise(0)
+    within = (whole * 10**FRACTION + parts).cast("decimal(18,0)") * F.lit(Decimal(1).scaleb(-FRACTION))
+    start = dump.cast("decimal(19,0)") * F.lit(Decimal(DUMP_STEP))
+    # Precisions that leave the sum its fraction.
+    return (start.cast("decimal(28,0)") + within.cast(f"decimal(18,{FRACTION})")).cast(POSITION)
+
+
 def page_responses(responses: DataFrame) -> DataFrame:
     """Entries of all complete chains in the order they were listed, as `ingest_pos`.
 
@@ -80,9 +101,4 @@ def page_responses(responses: DataFrame) -> DataFrame:
     entry = whole.select(
         "dump_id", "persona_id", "response_no", F.posexplode("results").alias("_entry_no", "_page")
     )
-    position = (
-        F.shiftleft(_checked(F.col("dump_id"), DUMP_BITS, "dumps"), ENTRY_BITS + RESPONSE_BITS)
-        + F.shiftleft(_checked(F.col("response_no"), RESPONSE_BITS, "responses in a dump"), ENTRY_BITS)
-        + _checked(F.col("_entry_no").cast("bigint"), ENTRY_BITS, "entries in a response")
-    )
-    return entry.select("dump_id", "persona_id", position.alias("ingest_pos"), "_page.*")
+    return entry.select("dump_id", "persona_id", ingest_position().alias("ingest_pos"), "_page.*")

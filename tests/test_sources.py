@@ -56,6 +56,22 @@ def test_dumps_numbered_by_milliseconds(spark, tmp_path):
     assert [i for _, i in listed(spark, tmp_path)] == ["a", "b"]
 
 
+def test_dumps_of_any_length_and_number_keep_their_order(spark):
+    """Positions alone, for chains too long to write down here."""
+    top = (1 << 63) - 1
+    numbers = [0, 1, 16_383, 16_384, 65_535, 65_536, 65_537, 131_072, 10**9, (1 << 48) - 1]
+    places = [(d, n, e) for d in (0, 1, 1764585600000, 1764585600001, top - 1, top) for n in numbers for e in (0, 127)]
+    rows = spark.createDataFrame(places, "dump_id BIGINT, response_no BIGINT, _entry_no INT")
+    got = rows.withColumn("p", dumps.ingest_position()).orderBy("p").collect()
+    assert [tuple(r)[:3] for r in got] == places and len({r.p for r in got}) == len(places)
+
+
+def test_a_dump_of_more_than_16384_responses_is_read(spark, tmp_path):
+    n = 17_000
+    save(tmp_path, "a.json", *[response(1, i, [{"id": str(i), "object": "page"}], i < n - 1) for i in range(n)])
+    assert listed(spark, tmp_path) == [(1, str(i)) for i in range(n)]
+
+
 def test_ingest_takes_the_newest_page(spark, tmp_path):
     save(tmp_path, "a.json", response(1, 0, [page("a", "one"), {"id": "d", "object": "database"}], False))
     save(tmp_path, "b.json", response(2, 0, [page("a", "two"), page("", "none"), page("b", "x", _content="given")], False))
