@@ -1,6 +1,7 @@
 """DuckDB SQL of the operators that SQL can express."""
 
 from persona_spark.llm.common import UPPER
+from persona_spark.llm.merkle_sql import merkle_sql, spelling_sql
 from persona_spark.llm.license_scan import GRAM, MIN_SHARE, PHRASES, SLACK, TEMPLATES
 from persona_spark.llm.quality_rules import MEASURES, STOP_WORDS, THRESHOLDS
 
@@ -132,6 +133,8 @@ ORACLES = {
     "op5_line_dedup": f"SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM ({line_dedup_sql('documents')})",
     "op6_chat_format": CHAT_SQL,
     "op10_license_scan": license_sql(),
+    "op12_spelling_variants": spelling_sql("documents"),
+    "op13_merkle_manifest": merkle_sql("documents"),
     "op8_quality_rules": "SELECT doc_id, "
     + ", ".join([*MEASURES, *[t.measure for t in THRESHOLDS]])
     + f", base_failed, kept FROM ({quality_sql('documents')})",

@@ -10,9 +10,10 @@ from persona_spark.llm.jaccard_join import jaccard_join
 from persona_spark.llm.kneser_ney import kneser_ney
 from persona_spark.llm.license_scan import license_scan
 from persona_spark.llm.line_dedup import line_dedup
+from persona_spark.llm.merkle import merkle_manifest
 from persona_spark.llm.packing import best_fit_packing
 from persona_spark.llm.quality_rules import quality_rules
-
+from persona_spark.llm.spelling import spelling_variants, vocabulary
 from persona_spark.llm.url_filter import url_filter
 
 
@@ -70,7 +71,20 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(vocabulary(read(spark, sf_dir, "documents")))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text is tampered with where the checksum of the id is even: its newlines are gone."""
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle_manifest(read(spark, sf_dir, "documents"), tampered)
+
+
 QUERIES = {
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_merkle_manifest": op13_merkle_manifest,
     "op3_jaccard_join": op3_jaccard_join,
     "op2_kneser_ney": op2_kneser_ney,
     "op7_collision_ann": op7_collision_ann,
