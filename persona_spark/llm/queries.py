@@ -14,6 +14,7 @@ from persona_spark.llm.merkle import merkle_manifest
 from persona_spark.llm.packing import best_fit_packing
 from persona_spark.llm.quality_rules import quality_rules
 from persona_spark.llm.spelling import spelling_variants, vocabulary
+from persona_spark.llm.token_records import token_records
 from persona_spark.llm.url_filter import url_filter
 
 
@@ -71,6 +72,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_records(read(spark, sf_dir, "documents"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(vocabulary(read(spark, sf_dir, "documents")))
 
@@ -83,6 +88,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op11_token_records": op11_token_records,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_merkle_manifest": op13_merkle_manifest,
     "op3_jaccard_join": op3_jaccard_join,
