@@ -1,6 +1,6 @@
 """Packing examples into blocks and laying out training steps.
 
-Both need positions in a global order. They are found in two levels, so that no task ever sees a
+Both need positions in a global order. They are found level by level, so that no task ever sees a
 whole persona: rows are numbered inside small buckets, and the buckets' totals are summed up.
 """
 
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from persona_spark.functions import values as V
 from persona_spark.functions.text import words
+from persona_spark.prefix import ROWS_PER_BUCKET, prefix_sums, range_bounds, with_part
 from persona_spark.scale import lookup_join, whole_div
 from persona_spark.session import stage_table
 
@@ -28,23 +29,11 @@ def running_offsets(
     keys: Sequence[str],
     position: str = "ingest_pos",
     length: str = "n_tokens",
-    per_bucket: int = POSITIONS_PER_BUCKET,
+    per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """Adds `offset`, the summed lengths of the earlier rows of the same key group.
-
-    `lengths` should be narrow and staged: it is read twice. Positions are unique per group, so a
-    bucket of positions holds at most `per_bucket` rows however large the group is.
-    """
-    rows = lengths.withColumn("_bucket", whole_div(F.col(position), per_bucket))
-    group = [*keys, "_bucket"]
-    totals = rows.groupBy(*group).agg(F.sum(length).alias("_sum"))
-    starts = totals.select(*group, _before(F.col("_bucket"), keys, F.col("_sum")).alias("_start"))
-    inside = rows.withColumn("_inside", _before(F.col(position), group, F.col(length)))
-    return (
-        inside.join(starts, group)
-        .withColumn("offset", F.col("_start") + F.col("_inside"))
-        .drop("_bucket", "_start", "_inside")
-    )
+    """Adds `offset`, the summed lengths of the earlier rows of the same key group. Positions are compared, never divided,
+    so any numbers, dates or texts will do. `lengths` should be narrow: it is sorted and written down."""
+    return prefix_sums(lengths, keys, [position], length, "offset", per_bucket)
 
 
 def pack_sequences(
@@ -54,49 +43,73 @@ def pack_sequences(
     position: str = "ingest_pos",
     text: str = "text",
     tokenizer=words,
-    per_bucket: int = POSITIONS_PER_BUCKET,
+    per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Examples of a group put one after the other and cut into blocks of `max_len` tokens.
 
-    (keys, block_id, members, n_tokens, text). `members` are the ids in order; an example that
-    straddles blocks is a member of each. Ids are unique. Lengths are worked out and placed first,
-    as a narrow table; the texts meet their places afterwards and are cut before they are moved.
+    (keys, block_id, members, n_tokens, text). `members` are the ids in order; an example that straddles blocks is a member
+    of each. Ids are unique, and order examples of equal position.
+
+    The table is cut into parts of at most `per_bucket` rows (a power of two) in the order of keys and position. The tokens
+    of each part are counted, and groups that go on over several parts get the prefix sums of these. Then the texts move
+    once, part by part: offsets are summed, blocks cut and put together where they arrive. Only the tokens of blocks at the
+    ends of a part, which a group may share with the next part, move again.
     """
     keys = list(keys)
-    tokens = tokenizer(F.col(text))
-    lengths = stage_table(
-        examples.select(*keys, "id", position, F.size(tokens).cast("bigint").alias("n_tokens")).where(
-            F.col("n_tokens") > 0
-        ),
-        "lengths",
+    order = [*keys, position, "id"]
+    slot = ["_part", *keys]
+    tokens = F.coalesce(tokenizer(F.col(text)), F.array().cast("array<string>"))
+    parted = with_part(examples.select(*order, text), order, range_bounds(examples, order, per_bucket))
+    rows = parted.select(*order, "_part", tokens.alias("_tokens"))
+
+    totals = stage_table(rows.groupBy(*slot).agg(F.sum(F.size("_tokens")).cast("bigint").alias("_total")), "totals")
+    several = totals.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > 1).drop("_n")
+    # At most two groups of a part have rows in others, so this is as small as the list of parts.
+    shared = totals.join(several, keys, "left_semi") if keys else totals
+    spans = prefix_sums(shared, keys, ["_part"], "_total", "_start", per_bucket).select(
+        *slot,
+        "_start",
+        whole_div(F.col("_start"), max_len).alias("_low"),
+        whole_div(F.col("_start") + F.col("_total") - 1, max_len).alias("_high"),
     )
-    places = running_offsets(lengths, keys, position, per_bucket=per_bucket).select("id", "offset", "n_tokens")
-    placed = examples.select(*keys, "id", position, text).join(places, "id")
-    first = whole_div(F.col("offset"), max_len)
-    last = whole_div(F.col("offset") + F.col("n_tokens") - 1, max_len)
+
+    before = Window.partitionBy(*slot).orderBy(position, "id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum(F.size("_tokens")).over(before), F.lit(0)).cast("bigint")
+    placed = (
+        lookup_join(rows, spans, slot, "left", stage=True)
+        .withColumn("_offset", F.coalesce("_start", F.lit(0).cast("bigint")) + inside)
+        .where(F.size("_tokens") > 0)
+        .withColumn("_first", whole_div(F.col("_offset"), max_len))
+        .withColumn("_last", whole_div(F.col("_offset") + F.size("_tokens") - 1, max_len))
+    )
+    start, stop = F.col("_offset"), F.col("_offset") + F.size("_tokens")
 
     def piece(block: Column) -> Column:
-        start = F.greatest(block * max_len - F.col("offset"), F.lit(0))
-        stop = F.least((block + 1) * max_len - F.col("offset"), F.col("n_tokens"))
-        cut = F.slice("_tokens", (start + 1).cast("int"), (stop - start).cast("int"))
-        return F.struct(
-            block.alias("block_id"), (stop - start).alias("n"), F.array_join(cut, " ").alias("part")
+        low = F.greatest(block * max_len, start)
+        n = F.least((block + 1) * max_len, stop) - low
+        cut = F.slice("_tokens", (low - start + 1).cast("int"), n.cast("int"))
+        return F.struct(block.alias("block_id"), n.alias("n"), F.array_join(cut, " ").alias("part"))
+
+    def blocks(some: DataFrame, group: Sequence[str], wanted: Column) -> DataFrame:
+        pieces = (
+            some.select(*slot, position, "id", "_low", "_high", F.explode_outer(F.transform(F.sequence("_first", "_last"), piece)).alias("p"))
+            .select(*slot, position, "id", "_low", "_high", "p.*")
+            .where(wanted)
+        )
+        ordered = F.array_sort(F.collect_list(F.struct(position, "id", "n", "part")))
+        return pieces.groupBy(*group, "block_id").agg(ordered.alias("_parts")).select(
+            *keys,
+            "block_id",
+            F.transform("_parts", lambda p: p["id"]).alias("members"),
+            F.aggregate("_parts", F.lit(0).cast("bigint"), lambda n, p: n + p["n"]).alias("n_tokens"),
+            F.array_join(F.transform("_parts", lambda p: p["part"]), " ").alias("text"),
         )
 
-    pieces = (
-        placed.withColumn("_tokens", tokens)
-        .select(*keys, "id", position, F.explode(F.transform(F.sequence(first, last), piece)).alias("p"))
-        .select(*keys, "id", position, "p.*")
-    )
-    ordered = F.array_sort(F.collect_list(F.struct(position, "id", "n", "part")))
-    blocks = pieces.groupBy(*keys, "block_id").agg(ordered.alias("_parts"))
-    return blocks.select(
-        *keys,
-        "block_id",
-        F.transform("_parts", lambda p: p["id"]).alias("members"),
-        F.aggregate("_parts", F.lit(0).cast("bigint"), lambda n, p: n + p["n"]).alias("n_tokens"),
-        F.array_join(F.transform("_parts", lambda p: p["part"]), " ").alias("text"),
-    )
+    at_end = (F.col("block_id") == F.col("_low")) | (F.col("block_id") == F.col("_high"))
+    reaches_end = (F.col("_first") <= F.col("_low")) | (F.col("_last") >= F.col("_high"))
+    within = blocks(placed, slot, F.col("_low").isNull() | ~at_end)
+    across = blocks(placed.where(reaches_end), keys, F.col("_low").isNotNull() & at_end)
+    return within.unionByName(across)
 
 
 def training_schedule(

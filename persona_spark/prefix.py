@@ -4,7 +4,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from persona_spark.scale import whole_div
+from persona_spark.scale import lookup_join, whole_div
 from persona_spark.session import stage_table
 
 ROWS_PER_BUCKET = 65_536
@@ -32,33 +32,79 @@ def prefix_sums(
     amount: str,
     out: str = "before",
     per_bucket: int = ROWS_PER_BUCKET,
+    _before_this: int | None = None,
 ) -> DataFrame:
     """Adds `out`, the sum of `amount` over the earlier rows of the same keys in the order of the columns `order`.
 
     Rows are numbered by one range sort over (keys, order) and cut into buckets of `per_bucket` numbers. Windows run
-    inside buckets only; the buckets' totals get their own prefix sums in the same way, level upon level, until they fit
-    one bucket. No task sees a whole group, and no value is divided: order columns may be of any sortable type. Null
+    inside buckets only; the buckets' totals get their own prefix sums in the same way, level upon level, until those of a
+    group fit one bucket. No task sees a whole group, and no value is divided: order columns may be of any sortable type. Null
     keys are a group, rows that tie in `order` come in any order, and a null amount counts as nothing.
     """
     keys = list(keys)
-    own = [f"_key{i}" for i in range(len(keys))]
-    ordered = numbered(rows, [*keys, *order]).withColumn("_bucket", whole_div(F.col("_no"), per_bucket))
-    return _placed(ordered, keys, own, amount, out, per_bucket).drop("_no", "_bucket")
-
-
-def _placed(ordered: DataFrame, keys: list[str], own: list[str], amount: str, out: str, per_bucket: int) -> DataFrame:
-    group = [*keys, "_bucket"]
+    ordered = numbered(rows, [*keys, *order]).withColumn("_in", whole_div(F.col("_no"), per_bucket))
     totals = stage_table(
-        ordered.groupBy(*group).agg(F.coalesce(F.sum(amount), F.lit(0)).cast("bigint").alias("_sum")), "totals"
+        ordered.groupBy(*keys, F.col("_in").alias("_bucket")).agg(F.coalesce(F.sum(amount), F.lit(0)).cast("bigint").alias("_sum")),
+        "totals",
     )
-    if totals.count() <= per_bucket:
-        starts = totals.withColumn("_start", _before("_bucket", keys, "_sum"))
+    sizes = totals.groupBy(*keys).agg(F.count("*").alias("_n")) if keys else totals.agg(F.count("*").alias("_n"))
+    largest = sizes.agg(F.max("_n")).first()[0] or 0
+    # A level that hardly shrinks, as buckets end with the parts of a sort, is small enough as well.
+    if largest <= per_bucket or (_before_this and 2 * largest > _before_this):
+        starts = totals.withColumn("_from", _before("_bucket", keys, "_sum"))
     else:
-        starts = prefix_sums(totals, keys, ["_bucket"], "_sum", "_start", per_bucket)
-    starts = starts.select(*[F.col(k).alias(o) for k, o in zip(keys, own)], F.col("_bucket").alias("_at"), "_start")
-    inside = ordered.withColumn("_inside", _before("_no", group, amount))
+        starts = prefix_sums(totals, keys, ["_bucket"], "_sum", "_from", per_bucket, largest)
+    own = [f"_key{i}" for i in range(len(keys))]
+    starts = starts.select(*[F.col(k).alias(o) for k, o in zip(keys, own)], F.col("_bucket").alias("_at"), F.col("_from").alias("_start"))
+    inside = ordered.withColumn("_inside", _before("_no", [*keys, "_in"], amount))
     # Null-safe, and hashed by the bucket as well, so that one large group is spread over many tasks.
-    same = F.col("_bucket") == F.col("_at")
+    same = F.col("_in") == F.col("_at")
     for k, o in zip(keys, own):
         same = same & F.col(k).eqNullSafe(F.col(o))
-    return inside.join(starts, same).withColumn(out, F.col("_start") + F.col("_inside")).drop("_at", "_start", "_inside", *own)
+    return inside.join(starts, same).select(*rows.columns, (F.col("_start") + F.col("_inside")).alias(out))
+
+
+def range_bounds(rows: DataFrame, order: Sequence[str], rows_per_part: int = ROWS_PER_BUCKET) -> DataFrame:
+    """(part, bound): where each part of the table begins, when it is cut into parts of at most `rows_per_part` rows in the
+    order of the columns `order`. Parts ascend with their bounds. `rows_per_part` is a power of two."""
+    if rows_per_part < 1 or rows_per_part & (rows_per_part - 1):
+        raise ValueError("rows_per_part must be a power of two")
+    ordered = numbered(rows.select(*order), order)
+    firsts = ordered.where(F.col("_no") % rows_per_part == 0)
+    return stage_table(firsts.select(whole_div(F.col("_no"), rows_per_part).alias("part"), F.struct(*order).alias("bound")), "bounds")
+
+
+def with_part(
+    df: DataFrame, order: Sequence[str], bounds: DataFrame, out: str = "_part", fan: int = 512, most: int = 64
+) -> DataFrame:
+    """`df` with the part of `range_bounds` that each row belongs to.
+
+    The bounds become a search tree: at most `most` entries at the top stand in the plan, each level below is a narrow table
+    of nodes with at most `fan` entries, looked up by number. Rows do not move while a level fits a broadcast.
+    """
+    level = bounds.select(F.col("part").alias("child"), "bound")
+    tables = []
+    while level.count() > most:
+        ranked = prefix_sums(level.withColumn("_one", F.lit(1)), [], ["child"], "_one", "_rank")
+        nodes = ranked.groupBy(whole_div(F.col("_rank"), fan).alias("_node")).agg(
+            F.array_sort(F.collect_list(F.struct("child", "bound"))).alias("_entries")
+        )
+        tables.append(stage_table(nodes, "nodes"))
+        level = tables[-1].select(F.col("_node").alias("child"), F.element_at("_entries", 1)["bound"].alias("bound"))
+    top = sorted(level.collect(), key=lambda r: r.child)  # at most `most` rows
+    here = F.struct(*order)
+    if not top:
+        return df.withColumn(out, F.lit(None).cast("bigint"))
+    types = {f.name: f.dataType for f in level.schema["bound"].dataType.fields}
+    entries = F.array(
+        *[F.struct(F.lit(r.child).cast("bigint").alias("child"), F.struct(*[F.lit(r.bound[c]).cast(t).alias(c) for c, t in types.items()]).alias("bound")) for r in top]
+    )
+
+    def found(entries: Column) -> Column:
+        """The child of the last entry that does not lie behind the row."""
+        return F.element_at(entries, F.size(F.filter(entries, lambda e: e["bound"] <= here)))["child"]
+
+    df = df.withColumn("_node", found(entries))
+    for table in reversed(tables):
+        df = lookup_join(df, table, ["_node"]).withColumn("_node", found(F.col("_entries"))).drop("_entries")
+    return df.withColumnRenamed("_node", out)

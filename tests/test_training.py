@@ -17,7 +17,7 @@ def examples(spark, n, personas=3, seed=1):
     return data, spark.createDataFrame(data, "persona_id BIGINT, id STRING, ingest_pos BIGINT, text STRING")
 
 
-@pytest.mark.parametrize("max_len,per_bucket", [(10, 65_536), (10, 16), (1, 7), (1000, 16)])
+@pytest.mark.parametrize("max_len,per_bucket", [(10, 65_536), (10, 16), (1, 8), (1000, 16), (7, 1), (3, 2)])
 def test_packing_loses_no_token(spark, max_len, per_bucket):
     data, df = examples(spark, 120)
     got = training.pack_sequences(df.repartition(5), max_len, per_bucket=per_bucket).orderBy("persona_id", "block_id").collect()
@@ -69,8 +69,67 @@ def test_steps_must_be_positive(spark):
 def test_offsets_match_a_running_sum(spark):
     lengths = [(k % 2, f"i{k}", k * 1000, (k * 7) % 11) for k in range(200)]
     df = spark.createDataFrame(lengths, "persona_id BIGINT, id STRING, ingest_pos BIGINT, n_tokens BIGINT")
-    got = {r.id: r.offset for r in training.running_offsets(df, ["persona_id"], per_bucket=5_000).collect()}
+    got = {r.id: r.offset for r in training.running_offsets(df, ["persona_id"], per_bucket=16).collect()}
     sums = [0, 0]
     for persona, i, _, n in lengths:
         assert got[i] == sums[persona]
         sums[persona] += n
+
+
+def packed(df, max_len, **more):
+    return {(r.persona_id, r.block_id): (r.members, r.text) for r in training.pack_sequences(df, max_len, **more).collect()}
+
+
+@pytest.mark.parametrize("dumps", [[2**52 - 1, 2**52, 2**52 + 1], [1_700_000_000_000_000_000 + k for k in (0, 1, 10**15)], [0, 10**6, 2 * 10**6]])
+def test_order_of_dumps_of_any_number(spark, dumps):
+    from pyspark.sql import functions as F
+
+    from persona_spark.sources.dumps import ingest_position
+
+    rows = [(1, f"e{k}", d, 0, e, f"w{k}") for k, (d, e) in enumerate((d, e) for d in dumps for e in range(3))]
+    df = spark.createDataFrame(rows, "persona_id BIGINT, id STRING, dump_id BIGINT, response_no BIGINT, _entry_no INT, text STRING")
+    df = df.select("persona_id", "id", ingest_position().alias("ingest_pos"), "text").orderBy(F.rand(1))
+    for per_bucket in (2, 65_536):
+        assert packed(df, 4, per_bucket=per_bucket) == {
+            (1, b): ([f"e{k}" for k in range(4 * b, min(9, 4 * b + 4))], " ".join(f"w{k}" for k in range(4 * b, min(9, 4 * b + 4)))) for b in range(3)
+        }
+
+
+def test_positions_may_be_times_or_texts(spark):
+    df = spark.sql("SELECT 1L AS persona_id, id, timestamp_micros(id * 7) AS at, string(id + 100) AS name, concat('w', id) AS text FROM range(40)")
+    df = df.withColumn("id", df.id.cast("string"))
+    for position in ("at", "name"):
+        assert packed(df, 15, position=position, per_bucket=4)[(1, 2)] == ([str(k) for k in range(30, 40)], " ".join(f"w{k}" for k in range(30, 40)))
+
+
+def test_null_texts_keys_and_positions(spark):
+    rows = [(None, "a", 1, "x y"), (None, "b", None, "z"), (1, "c", 2, None), (1, "d", 3, "v"), (2, "e", 1, "  ")]
+    df = spark.createDataFrame(rows, "persona_id BIGINT, id STRING, ingest_pos BIGINT, text STRING")
+    assert packed(df, 2) == {(None, 0): (["b", "a"], "z x"), (None, 1): (["a"], "y"), (1, 0): (["d"], "v")}
+    assert packed(df.limit(0), 2) == {}
+
+
+def test_one_group_over_all_parts_without_keys(spark):
+    data, df = examples(spark, 60)
+    got = training.pack_sequences(df, 11, keys=(), per_bucket=4).orderBy("block_id").collect()
+    assert " ".join(r.text for r in got).split() == [w for d in data for w in d[3].split()]
+    assert [r.n_tokens for r in got[:-1]] == [11] * (len(got) - 1)
+
+
+def exchanges(df):
+    import contextlib
+    import io
+    import re
+
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain()
+    plan = out.getvalue()
+    return [line for line in plan.split("\n") if re.search(r"\bExchange hash", line)]
+
+
+def test_texts_move_once(spark):
+    """Blocks inside a part are put together where the window's exchange has brought the texts."""
+    plan = exchanges(training.pack_sequences(examples(spark, 40)[1], 10, per_bucket=8))
+    assert len(plan) == 3 and sum("block_id" in line for line in plan) == 1  # the second half repeats the first exchange
+    assert len([line for line in plan if "_part" in line]) == 2
