@@ -42,9 +42,9 @@ def prefix_sums(
     keys are a group, rows that tie in `order` come in any order, and a null amount counts as nothing.
     """
     keys = list(keys)
-    ordered = numbered(rows, [*keys, *order]).withColumn("_in", whole_div(F.col("_no"), per_bucket))
+    ordered = numbered(rows, [*keys, *order]).withColumn("_prefix_in", whole_div(F.col("_no"), per_bucket))
     totals = stage_table(
-        ordered.groupBy(*keys, F.col("_in").alias("_bucket")).agg(F.coalesce(F.sum(amount), F.lit(0)).cast("bigint").alias("_sum")),
+        ordered.groupBy(*keys, F.col("_prefix_in").alias("_bucket")).agg(F.coalesce(F.sum(amount), F.lit(0)).cast("bigint").alias("_sum")),
         "totals",
     )
     sizes = totals.groupBy(*keys).agg(F.count("*").alias("_n")) if keys else totals.agg(F.count("*").alias("_n"))
@@ -54,14 +54,14 @@ def prefix_sums(
         starts = totals.withColumn("_from", _before("_bucket", keys, "_sum"))
     else:
         starts = prefix_sums(totals, keys, ["_bucket"], "_sum", "_from", per_bucket, largest)
-    own = [f"_key{i}" for i in range(len(keys))]
-    starts = starts.select(*[F.col(k).alias(o) for k, o in zip(keys, own)], F.col("_bucket").alias("_at"), F.col("_from").alias("_start"))
-    inside = ordered.withColumn("_inside", _before("_no", [*keys, "_in"], amount))
+    own = [f"_prefix_key{i}" for i in range(len(keys))]
+    starts = starts.select(*[F.col(k).alias(o) for k, o in zip(keys, own)], F.col("_bucket").alias("_prefix_at"), F.col("_from").alias("_prefix_start"))
+    inside = ordered.withColumn("_prefix_inside", _before("_no", [*keys, "_prefix_in"], amount))
     # Null-safe, and hashed by the bucket as well, so that one large group is spread over many tasks.
-    same = F.col("_in") == F.col("_at")
+    same = F.col("_prefix_in") == F.col("_prefix_at")
     for k, o in zip(keys, own):
         same = same & F.col(k).eqNullSafe(F.col(o))
-    return inside.join(starts, same).select(*rows.columns, (F.col("_start") + F.col("_inside")).alias(out))
+    return inside.join(starts, same).select(*rows.columns, (F.col("_prefix_start") + F.col("_prefix_inside")).alias(out))
 
 
 def range_bounds(rows: DataFrame, order: Sequence[str], rows_per_part: int = ROWS_PER_BUCKET) -> DataFrame:
