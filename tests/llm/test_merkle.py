@@ -90,7 +90,7 @@ def test_repeated_ids_and_rows(rows):
 
 
 def test_small_buckets_of_the_directory(rows, monkeypatch):
-    monkeypatch.setattr(prefix.prefix_sums, "__defaults__", ("before", 4))
+    monkeypatch.setattr(prefix.prefix_sums, "__defaults__", ("before", 4, None))
     docs = [doc(i * 64, "ab"[i % 2]) for i in range(120)] + [doc(64)] * 9
     assert manifest(rows, docs) == plain(docs)
 
