@@ -131,7 +131,27 @@ def with_views(body: str, *names: str) -> str:
 BUILT = ("memories", "personas", "usable", "titled", "pooled", "picked", "prompts", "built")
 LISTED = ("note_pages", "fetched", "listed")
 
+# A walk along the cursors from the first response of each dump whose cursors are told apart.
+CHAINS = f"""
+WITH RECURSIVE cursor_turns AS ({VIEWS["cursor_turns"]}),
+r AS (SELECT *, coalesce('=' || start_cursor, '') AS asked, CASE WHEN has_more THEN '=' || next_cursor END AS nxt FROM cursor_turns),
+odd AS (
+  SELECT DISTINCT dump_id, 'fork' AS fault FROM r GROUP BY dump_id, asked HAVING count(*) > 1
+  UNION SELECT dump_id, 'join' FROM r WHERE nxt IS NOT NULL GROUP BY dump_id, nxt HAVING count(*) > 1
+  UNION SELECT dump_id, 'gap' FROM r WHERE nxt IS NOT NULL AND (dump_id, nxt) NOT IN (SELECT (dump_id, asked) FROM r)
+  UNION SELECT dump_id, 'loose' FROM r WHERE asked <> '' AND (dump_id, asked) NOT IN (SELECT (dump_id, nxt) FROM r WHERE nxt IS NOT NULL)
+  UNION SELECT dump_id, 'no start' FROM r GROUP BY dump_id HAVING count(*) FILTER (WHERE asked = '') = 0
+  UNION SELECT dump_id, 'open' FROM r WHERE has_more AND next_cursor IS NULL),
+walk AS (
+  SELECT dump_id, asked, nxt, 0::BIGINT AS response_no, turn, text FROM r WHERE asked = '' AND dump_id NOT IN (SELECT dump_id FROM odd)
+  UNION ALL SELECT r.dump_id, r.asked, r.nxt, response_no + 1, r.turn, r.text FROM walk w JOIN r ON r.dump_id = w.dump_id AND r.asked = w.nxt),
+faults AS (SELECT * FROM odd UNION ALL SELECT dump_id, 'loop' FROM r WHERE dump_id NOT IN (SELECT dump_id FROM odd) GROUP BY dump_id
+  HAVING count(*) > (SELECT count(*) FROM walk WHERE walk.dump_id = r.dump_id))
+"""
+
 ORACLES = {
+    "number_responses": f"{CHAINS} SELECT dump_id, response_no, turn, text FROM walk WHERE dump_id NOT IN (SELECT dump_id FROM faults)",
+    "chain_faults": f"{CHAINS} SELECT dump_id, fault FROM faults",
     "page_responses": with_views(
         "SELECT dump_id, dump_persona AS persona_id, listed_pos AS ingest_pos, id, created_time FROM listed", *LISTED
     ),

@@ -11,7 +11,7 @@ from persona_spark.model import MEMORY, PAGE
 from persona_spark.operators import checks, conversations as C, inference, pages, ranking, runs, store, training
 from persona_spark.plans import ask, build, ingest
 from persona_spark.session import fresh_path
-from persona_spark.sources import dumps, logs, store as store_files, training_set
+from persona_spark.sources import chains, dumps, logs, store as store_files, training_set
 from persona_spark.streaming.refresh import memory_store, refresh_stream as start_refresh
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,16 @@ def page_responses(t):
     return out.select("dump_id", "persona_id", whole_position(), "id", "created_time")
 
 
+@query
+def number_responses(t):
+    return chains.number_responses(t["cursor_turns"]).select("dump_id", "response_no", "turn", "text")
+
+
+@query
+def chain_faults(t):
+    return chains.chain_faults(t["cursor_turns"])
+
+
 @query
 def object_split(t):
     page_rows, databases = pages.object_split(t["entries"])

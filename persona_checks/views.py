@@ -50,6 +50,21 @@ SELECT CASE WHEN item_id % 4 = 0 THEN '' ELSE concat('b', CAST(item_id AS STRING
 FROM benchmark
 """
 
+# Conversations as paged listings: a turn is a response, asked with a cursor of its own. Some lack a turn, hold one twice, lead
+# back to an earlier one, go round in a circle or announce more than there is.
+CURSOR_TURNS = """
+SELECT conv_id AS dump_id, CASE WHEN turn > 0 THEN concat('c', CAST(turn AS STRING)) END AS start_cursor,
+  CASE WHEN turn = last_turn AND conv_id % 11 = 5 THEN 'c1' WHEN turn = last_turn AND conv_id % 23 = 6 THEN 'c2'
+       WHEN turn = last_turn AND conv_id % 19 = 3 THEN NULL ELSE concat('c', CAST(turn + 1 AS STRING)) END AS next_cursor,
+  CASE WHEN turn = last_turn THEN conv_id % 11 = 5 OR conv_id % 19 = 3 OR (conv_id % 23 = 6 AND turn > 1)
+       ELSE NOT (conv_id % 23 = 6 AND turn = 1) END AS has_more, turn, text
+FROM (SELECT conv_id, turn, text, max(turn) OVER (PARTITION BY conv_id) AS last_turn FROM conversations) c
+WHERE conv_id % 13 <> 4 OR turn <> 1
+UNION ALL
+SELECT conv_id AS dump_id, concat('c', CAST(turn AS STRING)) AS start_cursor, NULL AS next_cursor, false AS has_more, turn, text
+FROM conversations WHERE conv_id % 17 = 2 AND turn = 1
+"""
+
 ENTRIES = """
 SELECT concat('m', CAST(doc_id AS STRING)) AS id, 'page' AS object, doc_id % 150 AS workspace_id FROM documents
 UNION ALL
@@ -162,6 +177,7 @@ VIEWS = {
     "selection": SELECTION,
     "store_old": STORE_OLD,
     "store_new": STORE_NEW,
+    "cursor_turns": CURSOR_TURNS,
     "entries": ENTRIES,
     "questions": QUESTIONS,
     "generations": GENERATIONS,
