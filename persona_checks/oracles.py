@@ -161,6 +161,9 @@ ORACLES = {
     ),
     "store_upsert": with_views("SELECT * FROM upserted", "store_old", "store_new", "upserted"),
     "store_upsert_on_disk": with_views("SELECT * FROM upserted", "store_old", "store_new", "upserted"),
+    "store_fetch_on_disk": with_views(
+        "SELECT u.*, s.pos FROM upserted u JOIN selection s ON s.id = u.id", "store_old", "store_new", "selection", "upserted"
+    ),
     "store_export_json": with_views("SELECT * FROM memories", "memories"),
     "training_set_sink": with_views(
         "SELECT id, persona_id, 3::BIGINT AS n_messages, text FROM rendered", *BUILT, "rendered"

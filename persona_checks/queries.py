@@ -102,12 +102,22 @@ def store_upsert(t):
 @query
 def store_upsert_on_disk(t):
     schema = t["store_old"].schema
-    files = store_files.VersionedStore(t.spark, fresh_path(t.spark, "store"), schema, buckets=16)
+    files = store_files.BucketedStore(t.spark, fresh_path(t.spark, "store"), schema, buckets=16)
     files.upsert(t["store_old"])
     files.upsert(t["store_new"])
     return files.read()
 
 
+@query
+def store_fetch_on_disk(t):
+    """A request sent to the folders of its ids, after an upsert with another number of them."""
+    root, schema = fresh_path(t.spark, "store"), t["store_old"].schema
+    store_files.BucketedStore(t.spark, root, schema, buckets=8).upsert(t["store_old"])
+    files = store_files.BucketedStore(t.spark, root, schema, buckets=16)
+    files.upsert(t["store_new"])
+    return files.fetch(t["selection"])
+
+
 @query
 def store_export_json(t):
     path = fresh_path(t.spark, "export")

@@ -1,13 +1,16 @@
-"""The memory store on disk: versions of a Parquet table, and JSON documents in and out."""
+"""The memory store on disk: batches in Parquet, and JSON documents in and out."""
 
-import uuid
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from persona_spark.operators.store import found_by_ids, store_upsert
+from persona_spark.operators.store import found_by_ids, latest_per_id
+from persona_spark.scale import fits_broadcast
 
+#: Requests of so many ids are handed to the files themselves.
+FEW_IDS = 10
 
 CORRUPT = "_corrupt"
 
@@ -77,70 +80,81 @@ def export_json(store: DataFrame, path: str, buckets: int = 64) -> None:
     )
 
 
-class VersionedStore:
-    """A store in buckets of ids. An upsert writes the buckets it touches to a new folder and then
-    appends their places to the list of commits, which is what makes them count. Readers keep the
-    files they opened, nothing is overwritten, and a write that fails leaves no trace in the list.
+class BucketedStore:
+    """A store as Parquet in folders of ids: batches are appended, and the newest row of an id counts.
 
-    One writer at a time, as with the batches of one stream. The number of buckets is settled by the
-    first upsert.
+    `<root>/batch=<n>/of=<buckets>/id_bucket=<b>`. A batch that is written again takes the place of what its first try left,
+    nothing else is overwritten, and readers put the rows of an id together. `newest` says which row counts: by default
+    that of the last batch and in it the largest `ingest_pos`; with the position first, no row gives way to an older one.
+    The number of buckets may change from batch to batch. `rewrite` makes a store without the rows that no longer count.
     """
 
-    COMMITS = "version BIGINT, bucket INT, path STRING, buckets INT"
-
-    def __init__(self, spark: SparkSession, root: str, schema: StructType, buckets: int = 64):
-        self.spark, self.root, self.schema, self.buckets = spark, root.rstrip("/"), schema, buckets
+    def __init__(
+        self, spark: SparkSession, root: str, schema: StructType, buckets: int = 64, newest: Sequence[str] = ("batch", "ingest_pos")
+    ):
+        self.spark, self.root, self.schema, self.buckets, self.newest = spark, root.rstrip("/"), schema, buckets, list(newest)
 
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64("id"), F.lit(self.buckets)).cast("int")
 
-    def _places(self) -> dict[int, tuple[int, str]]:
-        """Bucket -> (version, folder); at most one entry per bucket."""
+    def _rows(self) -> DataFrame:
+        """All rows of all batches, with batch, of and id_bucket."""
+        folders = StructType([StructField("batch", LongType()), StructField("of", IntegerType()), StructField("id_bucket", IntegerType())])
+        schema = StructType([*self.schema.fields, *folders.fields])
         try:
-            commits = self.spark.read.schema(self.COMMITS).parquet(f"{self.root}/commits")
+            return self.spark.read.schema(schema).parquet(self.root)
         except AnalysisException as e:
             if e.getCondition() == "PATH_NOT_FOUND":
-                return {}
+                return self.spark.createDataFrame([], schema)
             raise
-        newest = commits.groupBy("bucket").agg(F.max(F.struct("version", "path", "buckets")).alias("c"))
-        found = newest.collect()
-        if any(r.c.buckets != self.buckets for r in found):
-            raise ValueError(f"the store has {found[0].c.buckets} buckets, not {self.buckets}")
-        return {r.bucket: (r.c.version, r.c.path) for r in found}
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        if not paths:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*paths)
-
-    def read(self, buckets: set[int] | None = None) -> DataFrame:
-        places = self._places()
-        return self._read([path for b, (_, path) in places.items() if buckets is None or b in buckets])
-
-    def touched(self, incoming: DataFrame) -> set[int]:
-        """The buckets a batch belongs to; no more than there are buckets."""
-        rows = incoming.where(F.col("id") != "").select(self._bucket().alias("b")).distinct().collect()
-        return {r.b for r in rows}
-
-    def upsert(self, incoming: DataFrame, order: str = "ingest_pos") -> None:
-        touched = self.touched(incoming)
-        if not touched:
-            return
-        places = self._places()
-        version = 1 + max((v for v, _ in places.values()), default=-1)
-        held = self._read([path for b, (_, path) in places.items() if b in touched])
-        folder = f"{self.root}/versions/{version:09d}-{uuid.uuid4().hex}"
+
+    def _newest(self, rows: DataFrame) -> DataFrame:
+        order = F.struct(*self.newest)
+        return latest_per_id(rows.withColumn("_order", order), "_order").select(*self.schema.fieldNames())
+
+    def read(self) -> DataFrame:
+        return self._newest(self._rows())
+
+    def narrowed(self, ids: DataFrame) -> DataFrame:
+        """The newest rows of the folders that the ids of a small request belong to; all folders for a large one."""
+        rows = self._rows()
+        asked = ids.select("id").distinct()
+        if not fits_broadcast(asked):
+            return self._newest(rows)
+        wanted = [r.b for r in asked.where("id is not null").select(self._bucket().alias("b")).distinct().collect()]  # at most all buckets
+        rows = rows.where(F.col("id_bucket").isin(wanted) & (F.col("of") == self.buckets) | (F.col("of") != self.buckets))
+        few = asked.take(FEW_IDS + 1)
+        if len(few) <= FEW_IDS:  # reaches the Bloom filters of the files
+            rows = rows.where(F.col("id").isin([r.id for r in few]))
+        return self._newest(rows)
+
+    def fetch(self, ids: DataFrame) -> DataFrame:
+        """The found rows of a request (id, pos), in no order: only the folders of its ids are opened."""
+        return found_by_ids(self.narrowed(ids), ids)
+
+    def next_batch(self) -> int:
+        last = self._rows().agg(F.max("batch")).first()[0]
+        return 0 if last is None else last + 1
+
+    def upsert(self, incoming: DataFrame, batch: int | None = None) -> None:
+        """Append a batch: of each id its last row by `ingest_pos`, rows without an id not at all. Without a number it is one
+        more than the last; a stream gives its own, so that a repeated batch counts once. One writer at a time."""
+        number = self.next_batch() if batch is None else batch
+        rows = latest_per_id(incoming.select(*self.schema.fieldNames()))
         (
-            store_upsert(held, incoming.select(*self.schema.fieldNames()), order)
-            .withColumn("id_bucket", self._bucket())
+            rows.withColumns({"of": F.lit(self.buckets), "id_bucket": self._bucket()})
             .hint("rebalance", "id_bucket")
-            .write.partitionBy("id_bucket")
-            .parquet(folder)
-        )
-        commits = [(version, b, f"{folder}/id_bucket={b}", self.buckets) for b in sorted(touched)]
-        (
-            self.spark.createDataFrame(commits, self.COMMITS)
-            .coalesce(1)
-            .write.mode("append")
-            .parquet(f"{self.root}/commits")
+            .sortWithinPartitions("id_bucket", "id")
+            .write.mode("overwrite")
+            .option("parquet.bloom.filter.enabled#id", "true")
+            .option("parquet.bloom.filter.adaptive.enabled", "true")
+            .partitionBy("of", "id_bucket")
+            .parquet(f"{self.root}/batch={number}")
         )
+
+    def rewrite(self, root: str, buckets: int | None = None) -> "BucketedStore":
+        """Write the rows that count as the first batch of a new store, and give that back. Batches that go on arriving belong
+        to the new one; numbers start again, so with a stream take the store that orders by position first."""
+        fresh = BucketedStore(self.spark, root, self.schema, buckets or self.buckets, self.newest)
+        fresh.upsert(self.read(), batch=-1)
+        return fresh

@@ -69,7 +69,7 @@ def plan(df):
 NOT_AT_SCALE = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "PythonUDF"]
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"refresh_stream", "page_responses", "store_upsert_on_disk"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"refresh_stream", "page_responses", "store_upsert_on_disk", "store_fetch_on_disk"}))
 def test_plans(spark, name):
     text = plan(QUERIES[name](spark, SF_DIR))
     for bad in NOT_AT_SCALE:

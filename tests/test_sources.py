@@ -9,7 +9,7 @@ from persona_spark.operators.store import stored_ids
 from persona_spark.plans.ingest import browse_list, ingest_memories
 from persona_spark.sources import dumps, logs, store, training_set
 from persona_spark.streaming import refresh as refresh_module
-from persona_spark.streaming.refresh import memory_store, refresh_stream, touched_responses
+from persona_spark.streaming.refresh import memory_store, refresh_stream
 
 
 def page(i, text, **more):
@@ -125,22 +125,81 @@ def test_store_read(spark, rows, tmp_path):
     assert store.store_read(held, ids.where("false")).count() == store.store_read(held).count() == 2
 
 
-def test_versioned_store(spark, rows, tmp_path):
-    schema = "id STRING, content STRING, ingest_pos BIGINT"
-    files = store.VersionedStore(spark, str(tmp_path / "s"), rows(schema, ("", "", 0)).schema, buckets=4)
-    assert files.read().count() == 0
-    files.upsert(rows(schema, *[(f"i{k}", "v1", k) for k in range(40)]))
+STORED = "id STRING, content STRING, ingest_pos BIGINT"
+
+
+def bucketed(spark, rows, path, **more):
+    return store.BucketedStore(spark, str(path), rows(STORED, ("", "", 0)).schema, **more)
+
+
+def test_bucketed_store(spark, rows, tmp_path):
+    files = bucketed(spark, rows, tmp_path / "s", buckets=4)
+    assert files.read().count() == 0 and files.next_batch() == 0
+    files.upsert(rows(STORED, *[(f"i{k}", "v1", k) for k in range(40)]))
     before = files.read()
-    places = files._places()
-    files.upsert(rows(schema, ("i3", "v2", 99), ("new", "v2", 100), ("", "no", 1)))
-    changed = {b for b, place in files._places().items() if place != places.get(b)}
-    assert changed == files.touched(rows(schema, ("i3", "", 0), ("new", "", 0)))
+    files.upsert(rows(STORED, ("i3", "v2", 1), ("new", "v2", 100), ("", "no", 1), (None, "no", 1)))
+    assert files.next_batch() == 2
     got = {r.id: r.content for r in files.read().collect()}
     assert len(got) == 41 and got["i3"] == got["new"] == "v2" and got["i4"] == "v1"
     assert {r.content for r in before.collect()} == {"v1"}  # a reader keeps what it opened
-    assert stored_ids(files.read()).count() == 41
-    with pytest.raises(ValueError, match="4 buckets"):
-        store.VersionedStore(spark, files.root, files.schema, buckets=8).read()
+    by_position = bucketed(spark, rows, tmp_path / "s", buckets=4, newest=("ingest_pos", "batch"))
+    assert {r.id: r.content for r in by_position.read().collect()}["i3"] == "v1"  # no row gives way to an older one
+    files.upsert(rows(STORED, ("new", "v3", 1)), batch=1)  # the second batch again
+    assert {r.id: r.content for r in files.read().collect()} == {f"i{k}": "v1" for k in range(40)} | {"new": "v3"}
+
+
+def test_a_store_is_rewritten_with_another_number_of_buckets(spark, rows, tmp_path):
+    files = bucketed(spark, rows, tmp_path / "s", buckets=4)
+    for version in ("v1", "v2", "v3"):
+        files.upsert(rows(STORED, *[(f"i{k}", version, k) for k in range(20)]))
+    fresh = files.rewrite(str(tmp_path / "t"), buckets=7)
+    assert sorted(fresh.read().collect()) == sorted(files.read().collect())
+    assert fresh._rows().count() == 20 and files._rows().count() == 60
+    fresh.upsert(rows(STORED, ("i1", "v4", 1)))
+    assert [r.content for r in fresh.fetch(rows("id STRING, pos INT", ("i1", 0))).collect()] == ["v4"]
+
+
+def files_read(df):
+    """Number of files that the scans of a plan have opened."""
+    df.collect()
+
+    def opened(plan):
+        if plan.nodeName() == "AdaptiveSparkPlan":
+            return opened(plan.executedPlan())
+        if "QueryStage" in plan.nodeName():
+            return opened(plan.plan())
+        own = plan.metrics().get("numFiles").get().value() if plan.nodeName().startswith("Scan parquet") else 0
+        return own + sum(opened(plan.children().apply(i)) for i in range(plan.children().size()))
+
+    return opened(df._jdf.queryExecution().executedPlan())
+
+
+def test_a_request_opens_only_the_folders_of_its_ids(spark, rows, tmp_path, monkeypatch):
+    files = bucketed(spark, rows, tmp_path / "s", buckets=64)
+    files.upsert(spark.range(5000).select(F.concat(F.lit("i"), "id").alias("id"), F.lit("v").alias("content"), F.col("id").alias("ingest_pos")))
+    asked = rows("id STRING, pos INT", *[(f"i{k}", k) for k in range(12)], ("i3", 99), ("missing", 5), (None, 6))
+    buckets = {r.b for r in asked.where("id is not null").select(files._bucket().alias("b")).distinct().collect()}
+    assert files_read(files.read()) == 64 and files_read(files.narrowed(asked)) == len(buckets) <= 13
+    found = sorted((r.id, r.pos) for r in files.fetch(asked).collect())
+    assert found == sorted([(f"i{k}", k) for k in range(12)] + [("i3", 99)])
+    monkeypatch.setattr("persona_spark.scale.PROBE_MAX_ROWS", 2)  # a large request reads all and finds the same
+    assert sorted((r.id, r.pos) for r in files.fetch(asked).collect()) == found
+
+
+def test_files_have_bloom_filters_on_ids(spark, rows, tmp_path):
+    import pyarrow.parquet as pq
+
+    files = bucketed(spark, rows, tmp_path / "s", buckets=1)
+    files.upsert(spark.range(5000).select(F.concat(F.lit("i"), "id").alias("id"), F.lit("v").alias("content"), F.col("id").alias("ingest_pos")))
+    few = files.narrowed(rows("id STRING, pos INT", ("i77", 1)))
+    scan = next(x for x in few._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in x)
+    assert "EqualTo(id,i77)" in scan.split("PushedFilters: ")[1]
+    assert [r.id for r in few.collect()] == ["i77"]
+    jvm = spark._jvm
+    name = next(p for p in (tmp_path / "s").rglob("*.parquet"))
+    file = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(str(name)), jvm.org.apache.hadoop.conf.Configuration())
+    columns = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(file).getFooter().getBlocks().get(0).getColumns()
+    assert [columns.get(k).getBloomFilterOffset() > 0 for k in range(2)] == [True, False]
 
 
 @pytest.mark.parametrize("fmt", ["parquet", "json"])
@@ -185,16 +244,46 @@ def test_stream_equals_batch_whatever_arrives_when(spark, tmp_path):
     assert {r.id: (r.alt_content, r.ingest_pos) for r in batch} == final == refresh()
 
 
-def test_a_batch_opens_only_its_own_dumps(spark, tmp_path, monkeypatch):
-    for dump in (1, 2, 3):
-        save(tmp_path / f"dump_id={dump}", "r.json", response(dump, 0, [page(f"p{dump}", "")], False))
-    batch = dumps.read_responses(spark, str(tmp_path / "dump_id=2"))
-    found = touched_responses(batch, str(tmp_path))
-    assert [r.dump_id for r in found.collect()] == [2]
-    scan = next(x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in x)
-    assert "PartitionFilters: [isnotnull(dump_id" in scan and "= 2)" in scan
-    monkeypatch.setattr(refresh_module, "NAMED_DUMPS", 0)
-    assert [r.dump_id for r in touched_responses(batch, str(tmp_path)).collect()] == [2]
+def states(spark, tmp_path, *batches, wait="30 days"):
+    """(dump_id, what) told by each batch of files, each run after a restart."""
+    told = []
+    for k, batch in enumerate(batches):
+        save(tmp_path / "in", f"b{k}.json", *batch)
+        seen = refresh_module.close_chains(refresh_module.pending_responses(spark, str(tmp_path / "in"), str(tmp_path / "w")), wait)
+        rows = []
+        refresh_module.start_available(seen, str(tmp_path / "ck"), lambda b, _, rows=rows: rows.extend(map(tuple, b.collect()))).awaitTermination()
+        told.append(sorted(rows))
+    return told
+
+
+def test_chains_close_once_and_only_when_whole(spark, tmp_path):
+    part = lambda d, no, more: response(d, no, [page(f"{d}{no}", "")], more)
+    told = states(
+        spark, tmp_path,
+        [part(1, 0, False), part(2, 1, True), part(3, 0, True), part(4, 0, False), part(4, 0, False), part(5, 0, None)],
+        [part(2, 0, True), part(3, 2, False), part(6, 1, False), part(6, 0, False)],
+        [part(2, 2, False), part(1, 0, False), part(5, 1, False)],
+    )
+    assert told == [[(1, "closed"), (5, "closed")], [], [(2, "closed")]]
+
+
+def test_chains_that_never_close_are_given_up(spark, tmp_path):
+    part = lambda d, no, more: response(d, no, [page(f"{d}{no}", "")], more)
+    told = states(spark, tmp_path, [part(1, 0, True)], [part(2, 0, True)], [part(1, 1, False)], wait="1 milliseconds")
+    assert told[0] == [] and (1, "given up") in told[1]
+    assert (1, "closed") not in told[2]  # the rest came too late
+
+
+def test_a_batch_reads_only_chains_that_closed(spark, tmp_path, monkeypatch):
+    read = []
+    real = refresh_module.closed_responses
+    monkeypatch.setattr(refresh_module, "closed_responses", lambda *a: read.append(real(*a)) or read[-1])
+    for k in range(6):
+        save(tmp_path / "in", f"d{k}.json", response(k, 0, [page(f"p{k}", "")], k == 5))
+        refresh_stream(spark, str(tmp_path / "in"), str(tmp_path / "s"), str(tmp_path / "c")).awaitTermination()
+    assert files_read(read[0]) == 1  # that of its own folder
+    assert [sorted(r.dump_id for r in df.collect()) for df in read] == [[0], [1], [2], [3], [4]]
+    assert memory_store(spark, str(tmp_path / "s")).read().count() == 5
 
 
 def test_log_lines_survive_another_split_size(spark, tmp_path):
