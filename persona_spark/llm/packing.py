@@ -15,6 +15,7 @@ from persona_spark.session import stage_table
 MAX_TOKENS = 2048
 #: Token put behind every document.
 END_ID = 0
+END_BYTES = END_ID.to_bytes(4, "little")
 #: Pieces of one length are numbered within buckets of about so many pieces of any length, at most so many buckets.
 PIECES_PER_BUCKET = 5_000
 MAX_BUCKETS = 4_096
@@ -36,16 +37,16 @@ def split_pieces(
             rows = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
             all_ids = []
             for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.array(bpe.encode(body or "") + [END_ID], "<u4")
-                for piece, start in enumerate(range(0, len(ids), max_tokens)):
-                    part = ids[start : start + max_tokens]
+                ids = bpe.encode_bytes(body or "") + END_BYTES
+                for piece, start in enumerate(range(0, len(ids), 4 * max_tokens)):
+                    part = ids[start : start + 4 * max_tokens]
                     rows["doc_id"].append(doc_id)
                     rows["piece"].append(piece)
-                    rows["start"].append(start)
-                    rows["length"].append(len(part))
-                    rows["ids_crc32"].append(zlib.crc32(part.tobytes()))
+                    rows["start"].append(start // 4)
+                    rows["length"].append(len(part) // 4)
+                    rows["ids_crc32"].append(zlib.crc32(part))
                     if keep_ids:
-                        all_ids.append(part.astype(np.int32))
+                        all_ids.append(np.frombuffer(part, "<u4").astype(np.int32))
             columns = [
                 pa.array(rows[k], pa.int32() if k == "piece" else pa.int64()) for k in rows
             ]

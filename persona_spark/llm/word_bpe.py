@@ -7,6 +7,7 @@ import unicodedata
 from functools import lru_cache
 from itertools import chain, islice
 
+import numpy as np
 from public_tokenizers import path as vocabulary_path
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
@@ -43,6 +44,7 @@ class WordBpe:
         self._library.no_truncation()
         self._library.no_padding()
         self._known: dict[str, tuple[int, ...]] = {}
+        self._coded: dict[str, bytes] = {}
         size = self._library.get_vocab_size(with_added_tokens=True)
         self._tokens = [self._library.id_to_token(i) for i in range(size)]
         self._closes = [t.endswith("</w>") for t in self._tokens]
@@ -77,12 +79,38 @@ class WordBpe:
             self._learn([w for w in set(words) if w not in known])
             return list(chain.from_iterable(map(known.__getitem__, words)))
 
-    def _learn(self, new: list[str]) -> None:
-        """Encode words by one call: spaces keep them apart, and the last token of each carries the mark of a word's end."""
-        known = self._known
+    def encode_bytes(self, text: str) -> bytes:
+        """The ids as little-endian unsigned numbers of four bytes: the words' bytes one after the other."""
+        if not self.is_plain(text):
+            return np.array(self.encode_whole(text), "<u4").tobytes()
+        words = _WORD.findall(text.lower())
+        coded = self._coded
+        try:
+            return b"".join(map(coded.__getitem__, words))
+        except KeyError:
+            if len(coded) > MAX_REMEMBERED:
+                for word in list(islice(coded, MAX_REMEMBERED // 2, None)):
+                    del coded[word]
+            new = [w for w in set(words) if w not in coded]
+            ids, ends = self._at_once(new)
+            if ends is None:
+                coded.update((w, np.array(self.encode_whole(w), "<u4").tobytes()) for w in new)
+            else:
+                data = np.array(ids, "<u4").tobytes()
+                coded.update((w, data[4 * a : 4 * b]) for w, a, b in zip(new, [0, *ends], ends))
+            return b"".join(map(coded.__getitem__, words))
+
+    def _at_once(self, new: list[str]) -> tuple[list[int], list[int] | None]:
+        """Encode words by one call: spaces keep them apart, and the last token of each carries the mark of a word's end. The
+        ids and the words' ends among them, None for a vocabulary without such marks."""
         ids = self.encode_whole(" ".join(new))
         ends = [k for k, i in enumerate(ids, 1) if self._closes[i]]
-        if len(ends) != len(new):  # a vocabulary without such marks
+        return ids, ends if len(ends) == len(new) else None
+
+    def _learn(self, new: list[str]) -> None:
+        known = self._known
+        ids, ends = self._at_once(new)
+        if ends is None:
             known.update((w, self.encode_whole(w)) for w in new)
             return
         same = self._same

@@ -126,3 +126,48 @@ def test_packed_sequences(spark, rows, library, monkeypatch):
         assert place <= 32
     assert len(sequences) <= -(-sum(r.length for r in found) // 32) + 1
     assert packing.best_fit_packing(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("text", ["", " ", "It's a test, isn't it? 123", "ÄÖÜ straße ſ", "日本語 and more", "a <|endoftext|> b", "word " * 3000, "x" * 5000])
+def test_bytes_are_the_ids(text):
+    bpe = word_bpe()
+    for _ in range(2):
+        assert np.frombuffer(bpe.encode_bytes(text), "<u4").tolist() == bpe.encode_whole(text)
+
+
+def test_forgotten_words_are_learned_again(monkeypatch):
+    from persona_spark.llm import word_bpe as W
+
+    monkeypatch.setattr(W, "MAX_REMEMBERED", 10)
+    bpe = W.WordBpe(public_tokenizers.path("word_bpe_49k.json"))
+    for k in range(60):
+        text = " ".join(f"{a}word{k}{b}" for a in "abc" for b in "xyz")
+        assert np.frombuffer(bpe.encode_bytes(text), "<u4").tolist() == bpe.encode_whole(text)
+
+
+def test_every_placed_piece_of_the_query_is_its_documents(spark):
+    """The whole table against the library: pieces, checksums, and sequences without gaps or overlaps."""
+    import zlib
+    from collections import defaultdict
+
+    import pyarrow.parquet as pq
+
+    from persona_spark.llm.queries import QUERIES
+    from tests.llm.test_native import SF_DIR
+
+    want = {}
+    for row in pq.read_table(f"{SF_DIR}/documents.parquet", columns=["doc_id", "text"]).to_pylist():
+        ids = word_bpe().encode_whole(row["text"] or "") + [0]
+        for piece, start in enumerate(range(0, len(ids), 2048)):
+            part = ids[start : start + 2048]
+            want[row["doc_id"], piece] = (start, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))
+    found = QUERIES["op4_best_fit_packing"](spark, SF_DIR).collect()
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in found} == want and len(found) == len(want)
+    sequences = defaultdict(list)
+    for r in found:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for places in sequences.values():
+        places.sort()
+        assert [o for o, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))]
+        assert sum(n for _, n in places) <= 2048
+    assert len(sequences) <= -(-sum(n for _, n, _ in want.values()) // 2048) + 1
