@@ -367,10 +367,14 @@ WHERE persona_id NOT IN (SELECT persona_id FROM stored) AND id IN (SELECT id FRO
         "memories", "usable", "selection",
     ),
     "run_summary": with_views(
-        """SELECT run_id, max(step) AS current_step, coalesce(arg_max_null(loss, step), 0) AS loss,
-        coalesce(arg_max_null(learning_rate, step), 0) AS learning_rate,
-        arg_max(loss, step) FILTER (loss IS NOT NULL) AS last_seen_loss FROM run_log GROUP BY run_id""",
-        "run_log",
+        """SELECT run_id, current_step, loss, learning_rate, last_seen_loss, max_steps, current_step / steps_per_epoch::DOUBLE AS current_epoch,
+        total_epochs FROM (SELECT run_id, max(step) AS current_step, coalesce(arg_max_null(loss, step), 0) AS loss,
+          coalesce(arg_max_null(learning_rate, step), 0) AS learning_rate,
+          arg_max(loss, step) FILTER (loss IS NOT NULL) AS last_seen_loss FROM run_log GROUP BY run_id)
+        LEFT JOIN (SELECT run_id, steps_per_epoch, CASE WHEN max_steps > 0 THEN max_steps ELSE steps_per_epoch * num_epochs END::BIGINT AS max_steps,
+          CASE WHEN max_steps > 0 THEN ceil(max_steps / steps_per_epoch) ELSE num_epochs END::BIGINT AS total_epochs
+          FROM (SELECT *, ceil(n_examples / (batch_size * accumulation))::BIGINT AS steps_per_epoch FROM run_plans)) USING (run_id)""",
+        "run_log", "run_plans",
     ),
     "display_order": with_views(
         f"""SELECT persona_id, id, row_number() OVER (PARTITION BY persona_id ORDER BY {DAY} DESC NULLS LAST, ingest_pos) AS display_rank

@@ -443,7 +443,7 @@ def build_stats(t):
 
 @query
 def run_summary(t):
-    return runs.run_summary(t["run_log"])
+    return runs.run_summary(t["run_log"], runs.run_plans(t["run_plans"]))
 
 
 # --- order ---

@@ -127,6 +127,13 @@ SELECT user_id AS run_id, event_id AS step, CASE WHEN event_type = 'error' THEN
 FROM events
 """
 
+# Plans of most runs, every other one with a number of steps.
+RUN_PLANS = """
+SELECT user_id AS run_id, 3 * count(*) AS n_examples, 2 AS batch_size, 1 + user_id % 8 AS accumulation,
+  CASE WHEN user_id % 2 = 0 THEN 60 WHEN user_id % 3 = 0 THEN -1 END AS max_steps, 1 + user_id % 3 AS num_epochs
+FROM events WHERE user_id % 10 <> 9 GROUP BY user_id
+"""
+
 LOG_LINES = """
 SELECT concat(event_type, '.log') AS file, event_id AS line_no, ts AS modified, props AS line FROM events
 """
@@ -185,6 +192,7 @@ VIEWS = {
     "persona_forms": PERSONA_FORMS,
     "model_names": MODEL_NAMES,
     "run_log": RUN_LOG,
+    "run_plans": RUN_PLANS,
     "log_lines": LOG_LINES,
     "run_requests": RUN_REQUESTS,
     "registry": REGISTRY,

@@ -1,6 +1,6 @@
 """Column helpers for text: blanks, stripping, names."""
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from persona_spark.functions import values as V
 
@@ -32,6 +32,16 @@ def first_truthy(*cols: Column) -> Column:
     return F.coalesce(*[truthy_text(c) for c in cols])
 
 
+def iso_text(df: DataFrame, column: str) -> Column:
+    """A column of ISO times as text: dates and timestamps as the clock of the session shows them, texts as they are."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.DateType):
+        return F.date_format(column, "yyyy-MM-dd")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return F.col(column)
+
+
 def sanitize_name(c: Column) -> Column:
     """A text made safe as a file name."""
     kept = F.regexp_replace(c, V.RESERVED_FILE_CHARACTERS, "")

@@ -10,7 +10,7 @@ from persona_spark.functions.templates import (
     TemplateError,
     fill_template,
 )
-from persona_spark.functions.text import hash_number, words
+from persona_spark.functions.text import hash_number, iso_text, words
 from persona_spark.model import CONVERSATION
 from persona_spark.scale import lookup_join
 
@@ -52,7 +52,7 @@ def persona_prompt(personas: DataFrame, template: str | None, structure: str | N
 
 def prompt_candidates(memories: DataFrame, pool: PromptPool) -> DataFrame:
     """Adds `candidates`, the ordered user prompts that fit the memory."""
-    long_date = F.date_format(P.created_date(F.col("created_time")), V.LONG_DATE)
+    long_date = F.date_format(P.created_date(iso_text(memories, "created_time")), V.LONG_DATE)
     return memories.withColumn("candidates", pool.candidates(F.col("title"), long_date))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from persona_spark.functions import pages as P
 from persona_spark.functions import values as V
-from persona_spark.functions.text import has_text
+from persona_spark.functions.text import has_text, iso_text
 
 
 def object_split(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -38,7 +38,7 @@ def prompt_title(pages: DataFrame, default: str = V.DEFAULT_PROMPT_TITLE) -> Dat
 
 
 def created_date(pages: DataFrame, created_time: str = "created_time") -> DataFrame:
-    return pages.withColumn("created_date", P.created_date(F.col(created_time)))
+    return pages.withColumn("created_date", P.created_date(iso_text(pages, created_time)))
 
 
 def display_label(pages: DataFrame, title: str = "display_title") -> DataFrame:
@@ -47,13 +47,16 @@ def display_label(pages: DataFrame, title: str = "display_title") -> DataFrame:
 
 
 def first_truthy_fields(memories: DataFrame) -> DataFrame:
-    """Settles `content` (else `alt_content`) and `created_time` (after an optional `date`)."""
+    """Settles `content` (else `alt_content`) and `created_time` (after an optional `date`). Dates and timestamps become text."""
     cols = memories.columns
     out = memories
     if "alt_content" in cols:
         out = out.withColumn("content", P.memory_text(F.col("content"), F.col("alt_content"))).drop("alt_content")
-    if "date" in cols:
-        out = out.withColumn("created_time", P.first_truthy(F.col("date"), F.col("created_time"))).drop("date")
+    times = [iso_text(memories, c) for c in ("date", "created_time") if c in cols]
+    if len(times) == 1:
+        out = out.withColumn("created_time", times[0]).drop("date")
+    elif times:
+        out = out.withColumn("created_time", P.first_truthy(*times)).drop("date")
     return out
 
 

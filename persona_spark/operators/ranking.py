@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from persona_spark.functions import pages as P
 from persona_spark.functions import values as V
+from persona_spark.functions.text import iso_text
 from persona_spark.scale import lookup_join, whole_div
 from persona_spark.session import stage_table
 
@@ -21,7 +22,7 @@ def display_order(pages: DataFrame, by: Sequence[str] = ("persona_id",)) -> Data
     earlier parts.
     """
     by = list(by)
-    at = P.created_instant(F.col("created_time")).alias("_at")
+    at = P.created_instant(iso_text(pages, "created_time")).alias("_at")
     keys = stage_table(pages.select(*by, "id", "ingest_pos", at), "display-keys")
     ordered = stage_table(
         keys.orderBy(*by, F.desc_nulls_last("_at"), "ingest_pos", "id")
@@ -45,7 +46,7 @@ def display_order(pages: DataFrame, by: Sequence[str] = ("persona_id",)) -> Data
 def label_lookup(pages: DataFrame) -> DataFrame:
     """(persona_id, label, id). Of equal labels the last in display order counts. `pages` has label,
     created_time and ingest_pos."""
-    at = P.created_instant(F.col("created_time"))
+    at = P.created_instant(iso_text(pages, "created_time"))
     last = F.struct(at.isNull(), -F.unix_micros(at), F.col("ingest_pos"), F.col("id"))
     return pages.groupBy("persona_id", "label").agg(F.max_by("id", last).alias("id"))
 

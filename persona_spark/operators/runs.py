@@ -151,17 +151,49 @@ def effective_settings(settings: DataFrame, plans: DataFrame) -> DataFrame:
     return layered_settings(own, over_training, over_adapter)
 
 
-def run_summary(run_log: DataFrame) -> DataFrame:
+def run_plans(runs: DataFrame) -> DataFrame:
+    """(run_id, steps_per_epoch, max_steps, total_epochs) from n_examples, batch_size, accumulation, max_steps and num_epochs.
+
+    The last step of an epoch may be short. Where `max_steps` is given (above 0) it decides and the epochs follow, a part of
+    one counting as one; else the epochs decide and the steps follow. A run without examples has no figures.
+    """
+    n = F.col("n_examples").cast("bigint")
+    per_step = (F.col("batch_size") * F.col("accumulation")).cast("bigint")
+    steps = F.when(n > 0, _ceil_div(n, per_step))
+    given = F.coalesce(F.col("max_steps") > 0, F.lit(False))
+    return runs.withColumn("_steps", steps).select(
+        "run_id",
+        F.col("_steps").alias("steps_per_epoch"),
+        F.when(given, F.col("max_steps")).otherwise(F.col("_steps") * F.col("num_epochs")).cast("bigint").alias("max_steps"),
+        F.when(given, _ceil_div(F.col("max_steps").cast("bigint"), F.col("_steps"))).otherwise(F.col("num_epochs")).cast("bigint").alias("total_epochs"),
+    ).withColumn("total_epochs", F.when(F.col("steps_per_epoch").isNotNull(), F.col("total_epochs")))
+
+
+def _ceil_div(a: Column, b: Column) -> Column:
+    return F.call_function("div", a + b - 1, b)
+
+
+def run_summary(run_log: DataFrame, plans: DataFrame | None = None) -> DataFrame:
     """Per run the last step and what its last log entry says; 0 where that entry lacks a figure.
     `last_seen_loss` is the newest loss that was logged at all. Entries of one step are told apart by
-    `entry_no`, if the log has it, and both figures come from one entry; rows may lie in any order."""
+    `entry_no`, if the log has it, and both figures come from one entry; rows may lie in any order.
+
+    With the `run_plans` of the runs there are also max_steps, current_epoch (steps over those of an epoch, with its
+    fraction) and total_epochs; null for a run without a plan.
+    """
     loss, step = F.col("loss"), F.col("step")
     entry = F.col("entry_no") if "entry_no" in run_log.columns else F.lit(0)
     place = F.struct(step.alias("step"), entry.alias("entry_no"), "loss", "learning_rate")
     last = F.max(place)
-    return run_log.groupBy("run_id").agg(
+    summary = run_log.groupBy("run_id").agg(
         F.max(step).alias("current_step"),
         F.coalesce(last["loss"], F.lit(0.0)).alias("loss"),
         F.coalesce(last["learning_rate"], F.lit(0.0)).alias("learning_rate"),
         F.max(F.when(loss.isNotNull(), place))["loss"].alias("last_seen_loss"),
     )
+    if plans is None:
+        return summary
+    epoch = F.col("current_step") / F.col("steps_per_epoch")
+    return lookup_join(summary, plans, ["run_id"], "left").select(
+        *summary.columns, "max_steps", epoch.alias("current_epoch"), "total_epochs"
+    )

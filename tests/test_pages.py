@@ -129,3 +129,27 @@ def test_object_split(rows):
     df = rows("id STRING, object STRING", ("1", "page"), ("2", "database"), ("3", "user"), ("4", None))
     found, databases = pages.object_split(df)
     assert [r.id for r in found.collect()] == ["1"] and [r.id for r in databases.collect()] == ["2"]
+
+
+@pytest.mark.parametrize("kind", ["DATE", "TIMESTAMP", "TIMESTAMP_NTZ"])
+def test_times_of_other_types_count_as_their_text(spark, kind):
+    """Label, prompts and order of a date or timestamp are those of its text."""
+    from persona_spark.functions.templates import PromptPool
+    from persona_spark.operators.conversations import prompt_candidates
+    from persona_spark.operators.ranking import display_order
+
+    pool = PromptPool(identity=[], about_title=["What of {title}?"], open_ended=[], greetings=[], about_date=["And {date}?"])
+    days = ["2025-01-02", "2024-12-31", None]
+    typed = spark.createDataFrame([(str(k), 1, k, "T", d, "2020-02-02") for k, d in enumerate(days)], "id STRING, persona_id INT, ingest_pos INT, title STRING, d STRING, created_time STRING")
+    seen = {}
+    for name, date in (("typed", F.col("d").cast(kind)), ("text", F.col("d"))):
+        settled = pages.first_truthy_fields(typed.withColumn("date", date).withColumn("created_time", F.col("created_time").cast(kind if name == "typed" else "string")).drop("d"))
+        assert dict(settled.dtypes)["created_time"] == "string"
+        labels = pages.display_label(settled, "title").select("id", "created_date", "label")
+        prompts = prompt_candidates(settled, pool).select("id", "candidates")
+        ranks = display_order(settled).select("id", "display_rank")
+        seen[name] = [sorted(map(tuple, df.collect())) for df in (labels, prompts, ranks)]
+    assert seen["typed"] == seen["text"]
+    assert [str(r[1]) for r in seen["typed"][0]] == ["2025-01-02", "2024-12-31", "2020-02-02"]
+    direct = display_order(typed.withColumn("created_time", F.col("d").cast(kind)))
+    assert {r.id: r.display_rank for r in direct.collect()} == {"0": 1, "1": 2, "2": 3}

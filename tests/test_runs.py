@@ -94,3 +94,14 @@ def test_effective_settings(rows):
         (1, "unsloth", "use_rslora", "true"), (1, "unsloth", "packing", None), (1, "training", "use_rslora", "true"), (1, "training", "packing", None),
         (2, "unsloth", "packing", "y"), (2, "training", "packing", "y"), (3, "lora", "r", "4"),
     ], key=str)
+
+
+def test_plans_of_runs(rows):
+    schema = "run_id INT, n_examples INT, batch_size INT, accumulation INT, max_steps INT, num_epochs INT"
+    plans = runs.run_plans(rows(schema, (1, 10, 2, 4, None, 3), (2, 16, 2, 4, 7, 1), (3, 5, 1, 1, -1, 2), (4, 0, 2, 4, 60, 1), (5, 16, 2, 4, 4, 9)))
+    assert {r.run_id: tuple(r)[1:] for r in plans.collect()} == {
+        1: (2, 6, 3), 2: (2, 7, 4), 3: (5, 10, 2), 4: (None, 60, None), 5: (2, 4, 2)
+    }
+    log = rows("run_id INT, step INT, loss DOUBLE, learning_rate DOUBLE", (1, 3, 0.5, 0.1), (4, 2, 0.1, 0.1), (9, 1, 0.1, 0.1))
+    got = {r.run_id: (r.current_step, r.max_steps, r.current_epoch, r.total_epochs) for r in runs.run_summary(log, plans).collect()}
+    assert got == {1: (3, 6, 1.5, 3), 4: (2, 60, None, None), 9: (1, None, None, None)}
