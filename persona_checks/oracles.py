@@ -207,6 +207,13 @@ ORACLES = {
         length(trim(content, {BLANKS}) || '<end_of_turn>' || chr(10))::BIGINT AS n_chars FROM usable""",
         "memories", "usable",
     ),
+    "token_labels": with_views(
+        r"""SELECT id, asked + answered AS n_tokens, answered AS n_learned, asked AS first_learned, true AS labels_are_ids FROM (
+        SELECT id, len(regexp_extract_all(left(text, opened), '[^ \t\n\r\v\f]+'))::BIGINT AS asked,
+          len(regexp_extract_all(substr(text, opened + 1), '[^ \t\n\r\v\f]+'))::BIGINT AS answered
+        FROM (SELECT id, text, instr(text, '<start_of_turn>model' || chr(10)) + length('<start_of_turn>model') AS opened FROM rendered))""",
+        *BUILT, "rendered",
+    ),
     "cap_length": rf"""SELECT doc_id, len(t)::BIGINT AS n_tokens, array_to_string(t[1:{CAP_LEN}], ' ') AS tokens
         FROM (SELECT doc_id, string_split_regex(trim(text, {BLANKS}), '\s+') AS t FROM documents)""",
     "pack_sequences": with_views(

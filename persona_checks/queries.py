@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from persona_checks import wording
 from persona_checks.fixtures import Tables
+from persona_spark.functions import tokens
 from persona_spark.model import MEMORY, PAGE
 from persona_spark.operators import checks, conversations as C, inference, pages, ranking, runs, store, training
 from persona_spark.plans import ask, build, ingest
@@ -266,6 +267,21 @@ def supervised_spans(t):
     )
 
 
+@query
+def token_labels(t):
+    """How many tokens each example has, how many are learned, and where the first of these stands."""
+    examples = C.token_labels(build.build_training_set(t["memories"], t["personas"], **WORDING).select("id", "text"))
+    taught = F.filter("labels", lambda x: x != tokens.IGNORED)
+    whole = F.forall(F.zip_with("labels", "input_ids", lambda a, b: (a == b) | (a == tokens.IGNORED)), lambda ok: ok)
+    return examples.select(
+        "id",
+        F.size("input_ids").cast("bigint").alias("n_tokens"),
+        F.size(taught).cast("bigint").alias("n_learned"),
+        (F.array_position(F.transform("labels", lambda x: x != tokens.IGNORED), F.lit(True)) - 1).alias("first_learned"),
+        whole.alias("labels_are_ids"),
+    )
+
+
 @query
 def cap_length(t):
     capped = C.cap_length(t["documents"], CAP_LEN)

@@ -1,8 +1,12 @@
 """From memories and personas to training conversations."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
 
-from persona_spark.functions import chat
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from persona_spark.functions import chat, tokens
 from persona_spark.functions import pages as P
 from persona_spark.functions import values as V
 from persona_spark.functions.templates import (
@@ -102,6 +106,39 @@ def supervised_spans(
     return cut.withColumn("spans", spans).drop("_segments")
 
 
+def token_labels(
+    examples: DataFrame,
+    tokenizer: tokens.Tokenizer = tokens.word_tokens,
+    instruction_marker: str = V.TURN_USER,
+    response_marker: str = V.TURN_MODEL,
+    ignored: int = tokens.IGNORED,
+    text: str = "text",
+) -> DataFrame:
+    """Adds `input_ids` and `labels`, one label per token: its id where the token begins inside an answer, else `ignored`.
+
+    Arrow batches: tokens and answers are two ascending lists of places, merged in time linear in both. A null text has no
+    tokens. Columns of these names are replaced.
+    """
+    kept = [c for c in examples.columns if c not in ("input_ids", "labels")]
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+            ids, labels = [], []
+            for body, (found, starts, _) in zip(texts, tokenizer(texts)):
+                coded = np.asarray(found, np.int32)
+                inside = tokens.learned(starts, *tokens.answer_spans(body, instruction_marker, response_marker))
+                ids.append(coded)
+                labels.append(np.where(inside, coded, np.int32(ignored)))
+            numbers = pa.list_(pa.int32())
+            columns = [*batch.columns[:-1], pa.array(ids, numbers), pa.array(labels, numbers)]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "input_ids", "labels"])
+
+    rows = examples.select(*kept, F.col(text).cast("string").alias("_tokenized"))
+    schema = T.StructType([*examples.select(*kept).schema.fields, *[T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("input_ids", "labels")]])
+    return rows.mapInArrow(label, schema)
+
+
 def cap_length(
     examples: DataFrame, max_len: int = V.MAX_SEQ_LENGTH, tokenizer=words, text: str = "text"
 ) -> DataFrame:

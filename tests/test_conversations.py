@@ -1,7 +1,8 @@
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from persona_spark.functions import chat
+from persona_spark.functions import chat, tokens
 from persona_checks.wording import POOL
 from persona_spark.functions.templates import PromptPool, TemplateError
 from persona_spark.operators import conversations as C
@@ -124,3 +125,63 @@ def test_exact_tokenizer_as_a_pandas_udf(rows):
         return texts.map(list)
 
     assert C.cap_length(rows("text STRING", ("abcd",)), 3, tokenizer=letters).first().tokens == ["a", "b", "c"]
+
+
+def plain_mask(text, starts):
+    """Character by character, as the markers stand."""
+    inside, k, mask = False, 0, []
+    while k < len(text):
+        for marker, opens in (("<start_of_turn>model\n", True), ("<start_of_turn>user\n", False)):
+            if text.startswith(marker, k):
+                mask += [False] * len(marker)
+                k += len(marker)
+                inside = opens
+                break
+        else:
+            mask.append(inside)
+            k += 1
+    return [mask[s] for s in starts]
+
+
+PIECES = ["<start_of_turn>user\n", "<start_of_turn>model\n", "<end_of_turn>\n", "hello there ", "ä 日本 ", "x", " ", "<start_of_turn>", "model\n", ""]
+
+
+@given(st.lists(st.sampled_from(PIECES), max_size=25))
+@settings(max_examples=300, deadline=None)
+def test_labels_equal_a_mask_made_character_by_character(pieces):
+    text = "".join(pieces)
+    (ids, starts, stops), = tokens.word_tokens([text])
+    letters = list(range(len(text)))
+    for places in (starts, letters):
+        assert tokens.learned(places, *tokens.answer_spans(text)).tolist() == plain_mask(text, places)
+    assert [text[a:b] for a, b in zip(starts, stops)] == text.split() or "\x1c" in text
+
+
+def test_token_labels(rows):
+    text = "<start_of_turn>user\nhow are you<end_of_turn>\n<start_of_turn>model\nfine thanks<end_of_turn>\n<start_of_turn>user\nok"
+    examples = rows("id INT, text STRING, labels STRING, _tokenized INT", (1, text, "x", 7), (2, None, "x", 7), (3, "", "x", 7), (4, "no marker", "x", 7))
+    got = {r.id: r for r in C.token_labels(examples.drop("_tokenized")).collect()}
+    assert [x != -100 for x in got[1].labels] == [False] * 5 + [True] * 2 + [False] * 2
+    assert all(a == b for a, b in zip(got[1].labels, got[1].input_ids) if a != -100)
+    assert got[2].labels == got[3].labels == [] and got[4].labels == [-100, -100] and got[1].text == text
+
+
+def test_token_labels_by_a_vocabulary(rows):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    text = "<start_of_turn>user\nhow are you<end_of_turn>\n<start_of_turn>model\nwonderful, thank you<end_of_turn>\n"
+    coded = tokens.library_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    row = C.token_labels(rows("text STRING", (text,)), coded).first()
+    (ids, starts, stops), = coded([text])
+    assert row.input_ids == ids
+    taught = [text[a:b] for a, b, x in zip(starts, stops, row.labels) if x != -100]
+    assert "".join(taught).startswith("wonderful, thank you<end") and len(row.labels) == len(ids)
+
+
+def test_very_many_turns_take_linear_time():
+    import time
+
+    text = "".join(f"<start_of_turn>user\nq{k}\n<start_of_turn>model\na{k} b\n" for k in range(60_000))
+    began = time.process_time()
+    (_, starts, _), = tokens.word_tokens([text])
+    assert int(tokens.learned(starts, *tokens.answer_spans(text)).sum()) == 120_000
+    assert time.process_time() - began < 20
