@@ -202,6 +202,13 @@ ORACLES = {
         *BUILT, "selection",
     ),
     "render_chat": with_views("SELECT id, text FROM rendered", *BUILT, "rendered"),
+    "render_template_text": with_views(
+        f"""SELECT id, text, text || '<|im_start|>assistant' || chr(10) AS prompt FROM (SELECT id, {' || '.join(
+            f"'<|im_start|>{role}' || chr(10) || trim({column}, {BLANKS}) || '<|im_end|>' || chr(10)"
+            for role, column in (("system", "system_prompt"), ("user", "user_prompt"), ("assistant", "content"))
+        )} AS text FROM built)""",
+        *BUILT,
+    ),
     "supervised_spans": with_views(
         f"""SELECT id, 0::BIGINT AS span_no, trim(content, {BLANKS}) || '<end_of_turn>' || chr(10) AS span_text,
         length(trim(content, {BLANKS}) || '<end_of_turn>' || chr(10))::BIGINT AS n_chars FROM usable""",

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from persona_checks import wording
 from persona_checks.fixtures import Tables
 from persona_spark.functions import tokens
+from persona_spark.functions.template_text import TextTemplate
 from persona_spark.model import MEMORY, PAGE
 from persona_spark.operators import checks, conversations as C, inference, pages, ranking, runs, store, training
 from persona_spark.plans import ask, build, ingest
@@ -251,6 +252,27 @@ def render_chat(t):
     return build.build_training_set(t["memories"], t["personas"], **WORDING).select("id", "text")
 
 
+#: A template as text, with a loop, tests on the role and a last line for the generator.
+TEMPLATE_TEXT = """{% for message in messages %}
+{% if message['role'] == 'system' and loop.first %}
+{{ '<|im_start|>system\\n' + message['content'] | trim + '<|im_end|>\\n' }}
+{% elif message.role != 'assistant' %}
+{{ '<|im_start|>' ~ message.role ~ '\\n' ~ message.content | trim ~ '<|im_end|>\\n' }}
+{% else %}
+{{- '<|im_start|>' + message.role + '\\n' + message.content | trim + eos_token + '\\n' -}}
+{% endif %}
+{% endfor %}
+{% if add_generation_prompt %}{{ '<|im_start|>assistant\\n' }}{% endif %}"""
+
+
+@query
+def render_template_text(t):
+    examples = build.build_training_set(t["memories"], t["personas"], **WORDING)
+    template = TextTemplate(TEMPLATE_TEXT, eos_token="<|im_end|>")
+    asked = C.render_chat(examples.drop("text"), template, add_generation_prompt=True).select("id", F.col("text").alias("prompt"))
+    return C.render_chat(examples.drop("text"), template).select("id", "text").join(asked, "id")
+
+
 @query
 def supervised_spans(t):
     examples = C.supervised_spans(build.build_training_set(t["memories"], t["personas"], **WORDING))

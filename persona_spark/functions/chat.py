@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, functions as F
 
 from persona_spark.functions import values as V
+from persona_spark.functions.template_text import TextTemplate
 from persona_spark.functions.text import strip
 
 
@@ -40,10 +41,15 @@ HEADER_TEMPLATE = ChatTemplate(
 
 
 def render_chat(
-    messages: Column, template: ChatTemplate = TURN_TEMPLATE, add_generation_prompt: bool = False
+    messages: Column, template: ChatTemplate | TextTemplate = TURN_TEMPLATE, add_generation_prompt: bool = False
 ) -> Column:
     """Messages (role, content) as one text. Texts to learn from go without the bos marker of the turn
-    dialect, as a trainer adds its own; prompts for a generator keep it."""
+    dialect, as a trainer adds its own; prompts for a generator keep it. So it is with a template given as text."""
+
+    if isinstance(template, TextTemplate):
+        text = template.render(messages, add_generation_prompt)
+        opened = F.startswith(text, F.lit(V.BOS))
+        return text if add_generation_prompt else F.when(opened, F.substring(text, len(V.BOS) + 1, 1 << 30)).otherwise(text)
 
     def body(m: Column) -> Column:
         return strip(m["content"]) if template.strip_content else m["content"]

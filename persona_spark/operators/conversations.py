@@ -87,7 +87,7 @@ def to_conversation(memories: DataFrame) -> DataFrame:
 
 def render_chat(
     conversations: DataFrame,
-    template: chat.ChatTemplate = chat.TURN_TEMPLATE,
+    template: chat.ChatTemplate | chat.TextTemplate = chat.TURN_TEMPLATE,
     add_generation_prompt: bool = False,
     messages: str = "conversations",
 ) -> DataFrame:
