@@ -255,9 +255,9 @@ def render_chat(t):
 #: A template as text, with a loop, tests on the role and a last line for the generator.
 TEMPLATE_TEXT = """{% for message in messages %}
 {% if message['role'] == 'system' and loop.first %}
-{{ '<|im_start|>system\\n' + message['content'] | trim + '<|im_end|>\\n' }}
+{{ '<|im_start|>system\\n' + message['content'] | trim + '<|im_end|>' }}
 {% elif message.role != 'assistant' %}
-{{ '<|im_start|>' ~ message.role ~ '\\n' ~ message.content | trim ~ '<|im_end|>\\n' }}
+{{ '<|im_start|>' ~ message.role ~ '\\n' ~ message.content | trim ~ '<|im_end|>' }}
 {% else %}
 {{- '<|im_start|>' + message.role + '\\n' + message.content | trim + eos_token + '\\n' -}}
 {% endif %}
