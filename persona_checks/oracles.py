@@ -253,6 +253,18 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY md5(id || ':
 SELECT epoch, epoch * steps + pos // 8 AS step, pos AS micro_batch, id FROM placed""",
         "memories", "usable",
     ),
+    "run_schedules": with_views(
+        """
+, sized AS (SELECT r.*, n, batch_size * accumulation AS per_step, (n + batch_size * accumulation - 1) // (batch_size * accumulation) AS steps
+  FROM persona_runs r JOIN (SELECT persona_id, count(*) AS n FROM usable GROUP BY persona_id) USING (persona_id)),
+planned AS (SELECT *, CASE WHEN max_steps > 0 THEN max_steps ELSE steps * num_epochs END AS most,
+  CASE WHEN max_steps > 0 THEN (max_steps + steps - 1) // steps ELSE num_epochs END AS epochs FROM sized),
+all_steps AS (SELECT *, unnest(range(0, least(most, epochs * steps)::BIGINT)) AS step FROM planned),
+filled AS (SELECT *, step // steps AS epoch, least(per_step, n - (step % steps) * per_step) AS k FROM all_steps)
+SELECT run_id, epoch::BIGINT AS epoch, step, k::BIGINT AS n_examples, k::BIGINT AS n_ids, ((k + batch_size - 1) // batch_size)::BIGINT AS n_micro_batches,
+  ((step % steps) * accumulation)::BIGINT AS first_micro_batch FROM filled""",
+        "memories", "usable", "persona_runs",
+    ),
     "inference_requests": with_views(
         f"""SELECT question_id, CASE WHEN trim(system_text) = '' THEN 'user' ELSE 'system,user' END AS roles,
         CASE WHEN trim(system_text) <> '' THEN system_text END AS system_text,

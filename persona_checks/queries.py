@@ -337,6 +337,16 @@ def training_schedule_one_run(t):
     return training.training_schedule(usable(t), 1, 8, max_steps=None, num_epochs=2, keys=())
 
 
+@query
+def run_schedules(t):
+    """What holds of a schedule whatever its order: per run, epoch and step its examples, and how often an epoch sees one."""
+    seen = training.run_schedules(usable(t), t["persona_runs"])
+    return seen.groupBy("run_id", "epoch", "step").agg(
+        F.count("*").alias("n_examples"), F.count_distinct("id").alias("n_ids"), F.count_distinct("micro_batch").alias("n_micro_batches"),
+        F.min("micro_batch").alias("first_micro_batch"),
+    )
+
+
 # --- prompts in, answers out ---
 
 

@@ -134,6 +134,14 @@ SELECT user_id AS run_id, 3 * count(*) AS n_examples, 2 AS batch_size, 1 + user_
 FROM events WHERE user_id % 10 <> 9 GROUP BY user_id
 """
 
+# Runs over the memories of a persona: two for some, with numbers of their own, and some without memories.
+PERSONA_RUNS = """
+SELECT c_custkey AS run_id, c_custkey % 170 AS persona_id, 1 + c_custkey % 3 AS batch_size, 1 + c_custkey % 4 AS accumulation,
+  CASE WHEN c_custkey % 2 = 0 THEN 1 + c_custkey % 50 WHEN c_custkey % 5 = 0 THEN -1 END AS max_steps,
+  1 + c_custkey % 3 AS num_epochs, 3407 + c_custkey % 2 AS seed
+FROM customer
+"""
+
 LOG_LINES = """
 SELECT concat(event_type, '.log') AS file, event_id AS line_no, ts AS modified, props AS line FROM events
 """
@@ -192,6 +200,7 @@ VIEWS = {
     "persona_forms": PERSONA_FORMS,
     "model_names": MODEL_NAMES,
     "run_log": RUN_LOG,
+    "persona_runs": PERSONA_RUNS,
     "run_plans": RUN_PLANS,
     "log_lines": LOG_LINES,
     "run_requests": RUN_REQUESTS,

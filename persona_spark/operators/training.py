@@ -4,12 +4,16 @@ Both need positions in a global order. They are found level by level, so that no
 whole persona: rows are numbered inside small buckets, and the buckets' totals are summed up.
 """
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from persona_spark.functions import values as V
+from persona_spark.functions.permutation import mixed, permuted
 from persona_spark.functions.text import words
+from persona_spark.operators.runs import run_plans
 from persona_spark.prefix import ROWS_PER_BUCKET, prefix_sums, range_bounds, with_part
 from persona_spark.scale import lookup_join, whole_div
 from persona_spark.session import stage_table
@@ -178,3 +182,46 @@ def training_schedule(
     if max_steps is not None:
         steps = steps.where(F.col("step") < max_steps)
     return steps.select(*keys, "epoch", "step", "micro_batch", "id")
+
+
+def run_schedules(examples: DataFrame, runs: DataFrame, keys: Sequence[str] = ("persona_id",), per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """(run_id, epoch, step, micro_batch, id) for many runs at once, each with numbers of its own.
+
+    `runs` has run_id, the keys of the group it learns from, and batch_size, accumulation, max_steps, num_epochs and seed; of
+    these a null or a `max_steps` below 1 means that the epochs decide, as in `runs.run_plans`. Several runs may share a
+    group. Ids of a group get dense ranks once, by prefix sums; a keyed permutation of the ranks then tells where an example
+    stands in each epoch, so nothing is sorted or moved for rows times epochs. Runs of one seed see a group in one order.
+    Ids are unique in a group; a run without examples gives nothing.
+    """
+    keys = list(keys)
+    ranked = prefix_sums(examples.select(*keys, "id").withColumn("_one", F.lit(1)), keys, ["id"], "_one", "_rank", per_bucket)
+    ranked = stage_table(ranked.drop("_one"), "ranks")
+    sizes = ranked.groupBy(*keys).agg(F.count("*").alias("n_examples")) if keys else ranked.agg(F.count("*").alias("n_examples"))
+    settings = ["batch_size", "accumulation", "max_steps", "num_epochs", "seed"]
+    asked = runs.select("run_id", *keys, *[F.col(c).cast("bigint").alias(c) for c in settings])
+    sized = lookup_join(asked, sizes, keys, stage=True) if keys else asked.withColumn("n_examples", F.lit(ranked.count()).cast("bigint"))
+    plans = lookup_join(sized, run_plans(sized).withColumnRenamed("max_steps", "_most"), ["run_id"], stage=True)
+    plans = plans.where("n_examples > 0").withColumn("_of", F.lit(0))
+    on = keys or ["_of"]
+    rows = lookup_join(ranked.withColumn("_of", F.lit(0)).drop(*([] if not keys else ["_of"])), plans.drop(*(["_of"] if keys else [])), on, spread=["id"], stage=True)
+    epochs = F.sequence(F.lit(0).cast("bigint"), F.col("total_epochs") - 1)
+    seen = rows.where("total_epochs > 0").select(
+        "run_id", F.explode_outer(epochs).alias("epoch"), "id", "steps_per_epoch", "_most", "batch_size", "accumulation",
+        "n_examples", "seed", "_rank",
+    )
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = {name: batch.column(batch.schema.get_field_index(name)) for name in ("_rank", "n_examples", "seed", "epoch")}
+            rank, n, seed, epoch = (c.fill_null(0).to_numpy(zero_copy_only=False) for c in col.values())
+            key = mixed(mixed(seed.astype(np.uint64)) ^ epoch.astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(permuted(rank, n, key))], [*batch.schema.names, "_position"])
+
+    placed = seen.mapInArrow(place, T.StructType([*seen.schema.fields, T.StructField("_position", T.LongType())]))
+    per_step = F.col("batch_size") * F.col("accumulation")
+    step = F.col("epoch") * F.col("steps_per_epoch") + F.call_function("div", F.col("_position"), per_step)
+    return (
+        placed.withColumn("step", step)
+        .where(F.col("step") < F.col("_most"))
+        .select("run_id", "epoch", "step", F.call_function("div", F.col("_position"), F.col("batch_size")).alias("micro_batch"), "id")
+    )

@@ -133,3 +133,73 @@ def test_texts_move_once(spark):
     plan = exchanges(training.pack_sequences(examples(spark, 40)[1], 10, per_bucket=8))
     assert len(plan) == 3 and sum("block_id" in line for line in plan) == 1  # the second half repeats the first exchange
     assert len([line for line in plan if "_part" in line]) == 2
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 16, 17, 100, 1000, 65_537])
+def test_permutations_are_whole_and_differ_by_key(n):
+    import numpy as np
+
+    from persona_spark.functions.permutation import permuted
+
+    orders = [permuted(np.arange(n), np.full(n, n), np.full(n, key)) for key in range(4)]
+    for order in orders:
+        assert sorted(order.tolist()) == list(range(n))
+    if n >= 16:
+        assert len({o.tobytes() for o in orders}) == 4
+        assert all(np.mean(o == np.arange(n)) < 0.4 for o in orders)
+    with pytest.raises(ValueError):
+        permuted(np.array([n]), np.array([n]), np.array([1]))
+
+
+def test_a_permutation_spreads_evenly():
+    import numpy as np
+
+    from persona_spark.functions.permutation import permuted
+
+    counts = np.zeros((12, 12))
+    for key in range(6000):
+        np.add.at(counts, (np.arange(12), permuted(np.arange(12), np.full(12, 12), np.full(12, key))), 1)
+    assert abs(counts / 500 - 1).max() < 0.25
+
+
+RUNS = "run_id INT, persona_id BIGINT, batch_size INT, accumulation INT, max_steps INT, num_epochs INT, seed INT"
+
+
+def test_runs_with_numbers_of_their_own(spark):
+    data, df = examples(spark, 90)
+    ids = {p: {d[1] for d in data if d[0] == p} for p in range(3)}
+    runs = spark.createDataFrame([(1, 0, 2, 4, 7, 1, 1), (2, 0, 3, 1, None, 2, 2), (3, 1, 1, 8, -1, 3, 1), (4, 77, 1, 1, 5, 1, 1), (5, 0, 2, 4, 60, 1, 1)], RUNS)
+    for per_bucket in (8, 65_536):
+        got = training.run_schedules(df.repartition(3), runs, per_bucket=per_bucket).collect()
+        seen = {}
+        for r in got:
+            seen.setdefault((r.run_id, r.epoch), []).append(r)
+        assert {k[0] for k in seen} == {1, 2, 3, 5}
+        n = len(ids[0])
+        for epoch in range(2):
+            rows = seen[2, epoch]
+            assert {r.id for r in rows} == ids[0] and len(rows) == n
+            assert sorted((r.step - epoch * math.ceil(n / 3), r.micro_batch) for r in rows) == [(k // 3, k // 3) for k in range(n)]
+        assert {r.id for r in seen[3, 2]} == ids[1] and max(r.step for r in seen[3, 2]) == 3 * math.ceil(len(ids[1]) / 8) - 1
+        assert sorted({r.step for r in got if r.run_id == 1}) == list(range(min(7, math.ceil(n / 8) * math.ceil(7 / math.ceil(n / 8)))))
+        assert max(r.step for r in got if r.run_id == 5) == 59
+        same = [{(r.epoch, r.id, r.step) for r in got if r.run_id == run and r.step < 7} for run in (1, 5)]
+        assert same[0] == same[1]  # one seed, one order
+        order = {e: [r.id for r in sorted(seen[2, e], key=lambda r: (r.step, r.id))] for e in (0, 1)}
+        assert order[0] != order[1]
+
+
+def test_runs_over_one_table_without_keys(spark):
+    data, df = examples(spark, 30)
+    runs = spark.createDataFrame([(1, 9, 4, 2, None, 1, 1), (2, 9, 30, 1, 2, 1, 1)], RUNS).drop("persona_id")
+    got = training.run_schedules(df, runs, keys=()).collect()
+    assert sorted(r.id for r in got if r.run_id == 1) == sorted(d[1] for d in data)
+    assert sorted(r.step for r in got if r.run_id == 2) == [0] * 30 + [1] * 30
+    assert training.run_schedules(df.limit(0), runs, keys=()).count() == 0
+
+
+def test_no_sort_of_rows_times_epochs(spark):
+    data, df = examples(spark, 30)
+    runs = spark.createDataFrame([(1, 0, 4, 2, None, 5, 1)], RUNS)
+    plan = training.run_schedules(df, runs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hash" not in plan and "Sort" not in plan and "Window" not in plan
