@@ -8,16 +8,18 @@ OPEN, NAMED, END = "<|", "|>\n", "<|end|>\n"
 
 #: Control strings all start with "<", which no escaped text holds. "%" is escaped so that it can be undone.
 ESCAPES = (("%", "%25"), ("<", "%3C"))
+#: The marker behind a role starts with "|", which no escaped role holds.
+ROLE_ESCAPES = (*ESCAPES, ("|", "%7C"))
 
 
-def escape(c: Column) -> Column:
-    for plain, code in ESCAPES:
+def escape(c: Column, escapes: tuple[tuple[str, str], ...] = ESCAPES) -> Column:
+    for plain, code in escapes:
         c = F.replace(c, F.lit(plain), F.lit(code))
     return c
 
 
-def unescape(c: Column) -> Column:
-    for plain, code in reversed(ESCAPES):
+def unescape(c: Column, escapes: tuple[tuple[str, str], ...] = ESCAPES) -> Column:
+    for plain, code in reversed(escapes):
         c = F.replace(c, F.lit(code), F.lit(plain))
     return c
 
@@ -44,7 +46,7 @@ def expand_examples(turns: DataFrame) -> DataFrame:
     )
     piece = F.transform(
         "_turns",
-        lambda t: F.concat(F.lit(OPEN), escape(t.role), F.lit(NAMED), escape(t.text), F.lit(END)),
+        lambda t: F.concat(F.lit(OPEN), escape(t.role, ROLE_ESCAPES), F.lit(NAMED), escape(t.text), F.lit(END)),
     )
     pieces = grouped.withColumn("_pieces", piece)
     ends = F.expr(
@@ -77,7 +79,7 @@ def parse_turns(formatted: Column) -> Column:
     return F.transform(
         F.slice(pieces, F.lit(1), F.size(pieces) - 1),
         lambda p: F.struct(
-            unescape(F.substring_index(p, NAMED, 1)).alias("role"),
+            unescape(F.substring_index(p, NAMED, 1), ROLE_ESCAPES).alias("role"),
             unescape(F.substring(p, F.instr(p, NAMED) + len(NAMED), F.length(p))).alias("text"),
         ),
     )

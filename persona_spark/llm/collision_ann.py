@@ -48,12 +48,14 @@ class Block:
     def __init__(self, projected: np.ndarray):
         order = np.argsort(projected, axis=1, kind="stable")
         self.ordered = np.take_along_axis(projected, order, axis=1)
-        self.places = np.empty(order.shape, np.uint16)
-        np.put_along_axis(self.places, order, np.arange(order.shape[1], dtype=np.uint16)[None, :], axis=1)
+        # Equal rows share a block, so it may hold more than two bytes can count.
+        self.kind = np.uint16 if order.shape[1] <= np.iinfo(np.uint16).max else np.uint32
+        self.places = np.empty(order.shape, self.kind)
+        np.put_along_axis(self.places, order, np.arange(order.shape[1], dtype=self.kind)[None, :], axis=1)
 
     def collisions(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Per vector, in how many of the windows [low, high) of the sorted arrays it lies."""
-        inside = (self.places - low.astype(np.uint16)[:, None]) < (high - low).astype(np.uint16)[:, None]
+        inside = (self.places - low.astype(self.kind)[:, None]) < (high - low).astype(self.kind)[:, None]
         return inside.sum(axis=0, dtype=np.uint16)
 
     def candidates(self, at: np.ndarray, need: int, threshold: int, width: float) -> list[np.ndarray]:

@@ -103,7 +103,7 @@ WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 t AS (SELECT *, row_number() OVER o AS i, count(*) OVER (PARTITION BY conv_id) AS n,
-  sum(13 + length(replace(replace(role, '%', '%25'), '<', '%3C')) + length(replace(replace(text, '%', '%25'), '<', '%3C')))
+  sum(13 + length(replace(replace(replace(role, '%', '%25'), '<', '%3C'), '|', '%7C')) + length(replace(replace(text, '%', '%25'), '<', '%3C')))
     OVER (o ROWS UNBOUNDED PRECEDING) AS chars
   FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
 SELECT conv_id, max(n)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,

@@ -126,6 +126,15 @@ class TestNearest:
         assert collision_ann.collision_ann(table, table.limit(0)).collect() == []
 
 
+    def test_a_block_of_more_rows_than_two_bytes_count(self):
+        import numpy as np
+
+        block = collision_ann.Block(np.zeros((3, 70_000)))
+        low, high = np.zeros(3, np.int64), np.full(3, 70_000)
+        assert (block.collisions(low, high) == 3).all()
+        assert (block.collisions(low, low + 69_999) == 3).sum() == 69_999
+
+
 class TestUrlFilter:
     def test_rules_and_parts(self, rows):
         urls = ["http://A.Example.NET/en/x?q", "http://example.net/de/", "xnet://net/", "http://www.Example.com/de/#a", "https://a.org/fr/1", "http://net", "http://knet/x", "no scheme", None, "a://b://c/d"]

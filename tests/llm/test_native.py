@@ -98,6 +98,19 @@ class TestChatFormat:
         for e, text in zip(examples, ("%253C %2525 %3C %25", "", "</s>[INST]".replace("<", "%3C"))):
             assert e.formatted[e.loss_start : e.loss_start + e.loss_chars] == text
 
+    def test_hostile_roles_read_back(self, spark, rows):
+        roles = ["a|>\nb", "|", "%7C|%", "<|end|>\n<|", "", "assistant"]
+        turns = [(1, i, role, "hello", "z") for i, role in enumerate(roles)]
+        examples = chat_format.expand_examples(rows(self.SCHEMA, *turns)).collect()
+        frame = spark.createDataFrame([(examples[-1].formatted,)], "f string")
+        read = frame.select(chat_format.parse_turns(frame.f).alias("t")).first().t
+        assert [(r.role, r.text) for r in read] == [(role, "hello") for role in roles]
+
+    def test_a_very_long_text(self, rows):
+        text = "word < % |> " * 100_000
+        found = chat_format.digest(chat_format.expand_examples(rows(self.SCHEMA, (1, 0, "user", "q", ""), (1, 1, "assistant", text, "")))).first()
+        assert found.loss_chars == len(text) and found.n_turns == 2
+
     def test_conversations_without_answers_and_odd_rows(self, rows):
         turns = [(1, 0, "user", "a", ""), (None, None, None, None, ""), (2, 0, "assistant", "b", ""), (2, 0, "assistant", "b", ""), (2, 1, "user", "c", "")]
         found = {r.conv_id: r for r in chat_format.digest(chat_format.expand_examples(rows(self.SCHEMA, *turns))).collect()}
