@@ -20,11 +20,12 @@ BLOCK_BYTES = 16 << 20
 #: Characters worked on at once within a task.
 RUN_CHARS = 1 << 20
 
-#: A document is rejected beyond  q + max(MARGIN * (q - median), log(LEAST_FACTOR))  of the log perplexity of its
-#: language's trusted texts. The quantile q is one that a few odd texts cannot move, so the margin is wide.
-QUANTILE = 0.9
-MARGIN = 15.0
-LEAST_FACTOR = 2.2
+#: A document is rejected beyond this quantile of the log perplexity of its language's trusted texts. These are texts that
+#: the model has not seen: one in HELD_OUT, told by a hash of the text, so that copies are on one side.
+QUANTILE = 0.99
+HELD_OUT = 4
+#: A language with fewer of them takes its own median and the quantile of the distances from the median over all languages.
+LEAST_HELD = 200
 #: Relative error of the quantiles is one over this.
 ACCURACY = 10_000
 
@@ -292,14 +293,14 @@ def kneser_ney(
     docs: DataFrame,
     labels: DataFrame,
     quantile: float = QUANTILE,
-    margin: float = MARGIN,
     text: str = "text",
     lang: str = "lang",
 ) -> DataFrame:
     """One row per row of `docs`: doc_id, text_hash, lang, n_chars, perplexity, threshold, kept.
 
-    Trained on all texts of trusted documents. Each language has its own threshold from quantiles over its trusted
-    texts; one without trusted texts takes that over all, and without any model all is kept. Null and empty texts have
+    Trained on the texts of trusted documents but one in HELD_OUT. Each language has its own threshold, a quantile over
+    its trusted texts that were held out; one without any takes that over all, and without a model or texts held out all
+    is kept. Null and empty texts have
     no perplexity and are kept: other rules judge them. Ids and languages may be null, rows may be repeated
     and each is scored. Other columns are left out.
     """
@@ -310,7 +311,8 @@ def kneser_ney(
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"),
     ).withColumn("_bytes", F.octet_length("_text").cast("long"))
     trusted = trusted_ids(labels)
-    good = lookup_join(whole.select("doc_id", "text_hash", "_text"), trusted, ["doc_id"], "left_semi", spread=["text_hash"], stage=True)
+    held_out = F.pmod("text_hash", F.lit(HELD_OUT)) == 0
+    good = lookup_join(whole.where(~held_out).select("doc_id", "text_hash", "_text"), trusted, ["doc_id"], "left_semi", spread=["text_hash"], stage=True)
     model, unseen = train(good.select("_text"))
     carried = ["doc_id", "text_hash", "lang"]
     if model is None:
@@ -325,14 +327,21 @@ def kneser_ney(
         )
     model = stage_table(model, "model")
     scored = stage_table(log_perplexities(whole, model, unseen, carried), "scored")
-    points = F.percentile_approx("log_perplexity", F.array(F.lit(0.5), F.lit(quantile)), F.lit(ACCURACY))
-    above = F.greatest(margin * (F.col("p")[1] - F.col("p")[0]), F.lit(float(np.log(LEAST_FACTOR))))
-    limit = F.col("p")[1] + above
     # Which texts are trusted is told to the narrow table of results, not to the texts once more.
-    fit = lookup_join(scored.filter("log_perplexity IS NOT NULL"), trusted, ["doc_id"], "left_semi", spread=["text_hash"], stage=True)
-    by_lang = fit.groupBy("lang").agg(points.alias("p")).select("lang", limit.alias("_own"))
-    over_all = fit.agg(points.alias("p")).select(limit.alias("x")).first().x
-    judged = lookup_join(scored, by_lang.filter("lang IS NOT NULL"), ["lang"], "left", spread=["doc_id", "text_hash"], stage=True)
+    fit = lookup_join(scored.filter(held_out & F.col("log_perplexity").isNotNull()), trusted, ["doc_id"], "left_semi", spread=["text_hash"], stage=True)
+    fit = stage_table(fit.select("lang", "log_perplexity"), "held-out")
+
+    def points(c: str, *at: float) -> Column:
+        return F.percentile_approx(c, F.array(*map(F.lit, at)), F.lit(ACCURACY))
+
+    own = fit.filter("lang IS NOT NULL").groupBy("lang").agg(points("log_perplexity", 0.5, quantile).alias("p"), F.count("*").alias("n"))
+    own = stage_table(own, "languages")
+    off = lookup_join(fit, own, ["lang"], spread=["log_perplexity"]).select((F.col("log_perplexity") - F.col("p")[0]).alias("off"))
+    spread = off.agg(points("off", quantile)[0].alias("x")).first().x
+    over_all = fit.agg(points("log_perplexity", quantile)[0].alias("x")).first().x
+    shared = F.col("p")[0] + F.lit(spread).cast("double")
+    by_lang = own.select("lang", F.when(F.col("n") >= LEAST_HELD, F.col("p")[1]).otherwise(shared).alias("_own"))
+    judged = lookup_join(scored, by_lang, ["lang"], "left", spread=["doc_id", "text_hash"], stage=True)
     threshold = F.coalesce("_own", F.lit(over_all).cast("double"))
     return judged.select(
         "doc_id",

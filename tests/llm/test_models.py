@@ -65,13 +65,21 @@ class TestKneserNey:
         texts, docs = self.docs(rows)
         labels = rows("doc_id long, quality int, toxic int", *[(i, 1, 0) for i in range(20)], (20, 1, 1), (21, 0, 0), (5, 1, 0), (None, 1, 0))
         found = {r.doc_id: r for r in kneser_ney.kneser_ney(docs, labels).collect()}
-        model = PlainModel(texts[:20])
+        held = [i for i in range(20) if found[i].text_hash % kneser_ney.HELD_OUT == 0]
+        assert 2 <= len(held) <= 10
+        model = PlainModel([texts[i] for i in range(20) if i not in held])
         for i, text in enumerate(texts):
             if text:
                 assert found[i].perplexity == pytest.approx(math.exp(model.log_perplexity(text)), rel=1e-9)
             else:
                 assert found[i].perplexity is None and found[i].kept
-        assert not found[30].kept and all(found[i].kept for i in range(30))
+        assert not found[30].kept and all(found[i].kept for i in held)
+        logs = {i: math.log(found[i].perplexity) for i in held}
+        english = sorted(logs[i] for i in held if i % 2)  # the others have no language
+        own = english[(len(english) - 1) // 2] + max(english) - english[(len(english) - 1) // 2]
+        for i in range(30):
+            assert math.log(found[i].threshold) == pytest.approx(own if i % 2 else max(logs.values()))
+            assert found[i].kept == (found[i].perplexity <= found[i].threshold)
         assert kneser_ney.keep_likely(docs, labels).columns == docs.columns
         assert kneser_ney.keep_likely(docs, labels).count() == sum(r.kept for r in found.values())
 
