@@ -37,28 +37,45 @@ FROM documents d JOIN events e ON e.event_id = d.doc_id
 
 # Dumps of 50 documents in responses of 10. A dump whose number is that of an error event broke off
 # before its last response. The documents are fetched a second time, the labelled ones changed.
-FETCHES = f"""
-SELECT doc_id div 50 AS dump_id, (doc_id % 50) div 10 AS response_no, doc_id,
-  id, source, lang, text, created_time, doc_id div 50 AS event_no
-FROM ({PAGE_SOURCE})
-UNION ALL
-SELECT 1000000 + s.doc_id div 50 AS dump_id, (s.doc_id % 50) div 10 AS response_no, s.doc_id,
-  s.id, s.source, s.lang, CASE WHEN l.doc_id IS NULL THEN s.text ELSE concat('v2 ', s.text) END AS text,
-  s.created_time, 100 + s.doc_id div 50 AS event_no
-FROM ({PAGE_SOURCE}) s LEFT JOIN labels l ON l.doc_id = s.doc_id
-"""
-
+# What a response says besides its pages is settled on numbers alone; the texts then meet it once, by tens of documents,
+# and serve both fetches from there.
 RESPONSES = f"""
-WITH responses AS (
-  SELECT dump_id, response_no, event_no, transform(array_sort(collect_list(struct(doc_id, {PAGE_STRUCT} AS page))), p -> p.page) AS results
-  FROM ({FETCHES}) GROUP BY dump_id, response_no, event_no
+WITH timed AS (
+  SELECT i.doc_id, collect_list(struct(e.ts)) AS times
+  FROM (SELECT DISTINCT doc_id FROM documents) i JOIN events e ON e.event_id = i.doc_id GROUP BY i.doc_id
+), marked AS (
+  SELECT doc_id, count(*) AS n_labels FROM labels GROUP BY doc_id
+), tens AS (
+  SELECT t.doc_id div 10 AS ten, map_from_entries(collect_list(struct(t.doc_id, struct(t.times, l.n_labels)))) AS known
+  FROM timed t LEFT JOIN marked l ON l.doc_id = t.doc_id GROUP BY t.doc_id div 10
+), listed AS (
+  SELECT ten, 1 AS fetch, ten div 5 AS dump_id, ten % 5 AS response_no, ten div 5 AS event_no FROM tens
+  UNION ALL
+  SELECT ten, 2 AS fetch, 1000000 + ten div 5 AS dump_id, ten % 5 AS response_no, 100 + ten div 5 AS event_no FROM tens
 ), last AS (
-  SELECT dump_id, max(response_no) AS last_no FROM responses GROUP BY dump_id
+  SELECT dump_id, max(response_no) AS last_no FROM listed GROUP BY dump_id
+), heads AS (
+  SELECT ten, collect_list(struct(fetch, dump_id, response_no, response_no < last_no OR coalesce(e.event_type = 'error', false) AS has_more,
+    CASE WHEN response_no < last_no THEN concat('after-', CAST(response_no AS STRING)) END AS next_cursor)) AS heads
+  FROM listed JOIN last USING (dump_id) LEFT JOIN events e ON e.event_id = listed.event_no GROUP BY ten
+), guide AS (
+  SELECT ten, known, heads FROM tens JOIN heads USING (ten)
+), known_pages AS (
+  SELECT /*+ MERGE(g) */ g.ten, g.heads, d.doc_id, d.source, d.lang, d.text, g.known[d.doc_id] AS k
+  FROM documents d JOIN guide g ON g.ten = d.doc_id div 10
+), fetched AS (
+  SELECT ten, heads, fetch, doc_id, concat('m', CAST(doc_id AS STRING)) AS id, source, lang,
+    CASE WHEN fetch = 2 AND k.n_labels > 0 THEN concat('v2 ', text) ELSE text END AS text,
+    CASE WHEN doc_id % 11 = 0 THEN 'not a date' WHEN doc_id % 13 = 0 THEN NULL
+         ELSE concat(CAST(CAST(e.ts AS DATE) AS STRING), 'T23:30:00-05:00') END AS created_time
+  FROM known_pages LATERAL VIEW inline(k.times) e AS ts
+  LATERAL VIEW explode(concat(array(1), array_repeat(2, CAST(coalesce(k.n_labels, 1) AS INT)))) f AS fetch
+), responses AS (
+  SELECT ten, fetch, any_value(heads) AS heads, transform(array_sort(collect_list(struct(doc_id, {PAGE_STRUCT} AS page))), p -> p.page) AS results
+  FROM fetched GROUP BY ten, fetch
 )
-SELECT r.dump_id, r.dump_id % 150 AS persona_id, r.response_no, r.results,
-  r.response_no < last_no OR coalesce(e.event_type = 'error', false) AS has_more,
-  CASE WHEN r.response_no < last_no THEN concat('after-', CAST(r.response_no AS STRING)) END AS next_cursor
-FROM responses r JOIN last USING (dump_id) LEFT JOIN events e ON e.event_id = r.event_no
+SELECT h.dump_id, h.dump_id % 150 AS persona_id, h.response_no, r.results, h.has_more, h.next_cursor
+FROM responses r LATERAL VIEW inline(filter(r.heads, h -> h.fetch = r.fetch)) h AS fetch, dump_id, response_no, has_more, next_cursor
 """
 
 
