@@ -2,9 +2,11 @@
 
 import re
 import zlib
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from persona_spark.functions import values as V
 
@@ -14,9 +16,23 @@ Tokenizer = Callable[[Sequence[str]], Sequence[tuple[Sequence[int], Sequence[int
 #: Label of a token that is not learned; the value that training libraries leave out of the loss.
 IGNORED = -100
 
+#: Texts handed to a tokenizer at a time: so many, or so many bytes and the one that goes beyond.
+PORTION_TEXTS = 256
+PORTION_BYTES = 1 << 19
+
 _WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 
 
+def portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Start and number of the rows of each portion, in order and without gaps."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start, done = 0, 0
+    while start < len(ends):
+        stop = min(start + PORTION_TEXTS, int(np.searchsorted(ends, done + PORTION_BYTES)) + 1, len(ends))
+        yield start, stop - start
+        start, done = stop, int(ends[stop - 1])
+
+
 def word_tokens(texts: Sequence[str]) -> list[tuple[list[int], list[int], list[int]]]:
     """Words between ASCII white space, numbered by a checksum. For counting and tests; bring a real tokenizer for training."""
     out = []

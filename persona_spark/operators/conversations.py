@@ -116,23 +116,29 @@ def token_labels(
 ) -> DataFrame:
     """Adds `input_ids` and `labels`, one label per token: its id where the token begins inside an answer, else `ignored`.
 
-    Arrow batches: tokens and answers are two ascending lists of places, merged in time linear in both. A null text has no
-    tokens. Columns of these names are replaced.
+    Arrow batches: tokens and answers are two ascending lists of places, merged in time linear in both. A tokenizer gets a few
+    texts at a time, however large the batches are: its tokens as Python numbers take many times the room of the text. A
+    null text has no tokens. Columns of these names are replaced.
     """
     kept = [c for c in examples.columns if c not in ("input_ids", "labels")]
 
+    numbers = pa.list_(pa.int32())
+
+    def labelled(rows: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [t or "" for t in rows.column(rows.num_columns - 1).to_pylist()]
+        ids, labels = [], []
+        for body, (found, starts, _) in zip(texts, tokenizer(texts)):
+            coded = np.asarray(found, np.int32)
+            inside = tokens.learned(starts, *tokens.answer_spans(body, instruction_marker, response_marker))
+            ids.append(coded)
+            labels.append(np.where(inside, coded, np.int32(ignored)))
+        columns = [*rows.columns[:-1], pa.array(ids, numbers), pa.array(labels, numbers)]
+        return pa.RecordBatch.from_arrays(columns, [*rows.schema.names[:-1], "input_ids", "labels"])
+
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            ids, labels = [], []
-            for body, (found, starts, _) in zip(texts, tokenizer(texts)):
-                coded = np.asarray(found, np.int32)
-                inside = tokens.learned(starts, *tokens.answer_spans(body, instruction_marker, response_marker))
-                ids.append(coded)
-                labels.append(np.where(inside, coded, np.int32(ignored)))
-            numbers = pa.list_(pa.int32())
-            columns = [*batch.columns[:-1], pa.array(ids, numbers), pa.array(labels, numbers)]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "input_ids", "labels"])
+            for start, n in tokens.portions(batch.column(batch.num_columns - 1)):
+                yield labelled(batch.slice(start, n))
 
     rows = examples.select(*kept, F.col(text).cast("string").alias("_tokenized"))
     schema = T.StructType([*examples.select(*kept).schema.fields, *[T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("input_ids", "labels")]])

@@ -185,3 +185,15 @@ def test_very_many_turns_take_linear_time():
     (_, starts, _), = tokens.word_tokens([text])
     assert int(tokens.learned(starts, *tokens.answer_spans(text)).sum()) == 120_000
     assert time.process_time() - began < 20
+
+
+def test_token_labels_a_portion_at_a_time(spark):
+    """However many texts a batch has, and one that is longer than a portion."""
+    def told(texts):
+        assert len(texts) <= tokens.PORTION_TEXTS and sum(map(len, texts[:-1])) < tokens.PORTION_BYTES
+        return tokens.word_tokens(texts)
+
+    body = F.when(F.col("id") == 7, F.repeat(F.lit("b "), tokens.PORTION_BYTES)).when(F.col("id") == 8, F.lit(None)).otherwise(F.repeat(F.lit("a "), F.col("id").cast("int") % 5000))
+    got = C.token_labels(spark.range(0, 1500, 1, 1).select("id", body.alias("text")), told).select("id", F.size("input_ids"), F.size("labels")).collect()
+    n = {i: tokens.PORTION_BYTES if i == 7 else 0 if i == 8 else i for i in range(1500)}
+    assert [tuple(r) for r in got] == [(i, n[i], n[i]) for i in range(1500)]
