@@ -9,17 +9,18 @@ from persona_spark.scale import fits_broadcast, lookup_join, shuffle_join
 from persona_spark.session import stage_table
 
 
-def latest_per_id(batch: DataFrame, order: str = "ingest_pos") -> DataFrame:
+def latest_per_id(batch: DataFrame, order: str = "ingest_pos", by: Sequence[str] = ("id",)) -> DataFrame:
     """The last row of every id; rows without an id are dropped. Equal positions are settled by a
     hash of the row, so the choice is repeatable. Copies meet in the map-side half of the
-    aggregate, so an id that fills a large part of the batch is no burden on one task."""
-    rest = [c for c in batch.columns if c != "id"]
+    aggregate, so an id that fills a large part of the batch is no burden on one task. `by` may name
+    columns that hang on the id besides it: rows that already lie by one of these do not move again."""
+    rest = [c for c in batch.columns if c not in by]
     newest = F.max_by(F.struct(*rest), F.struct(order, F.xxhash64(*rest)))
     return (
         batch.where(F.coalesce(F.col("id"), F.lit("")) != "")
-        .groupBy("id")
+        .groupBy(*by)
         .agg(newest.alias("_row"))
-        .select("id", *[F.col("_row")[c].alias(c) for c in rest])
+        .select(*by, *[F.col("_row")[c].alias(c) for c in rest])
         .select(*batch.columns)
     )
 

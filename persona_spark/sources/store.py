@@ -109,6 +109,8 @@ class BucketedStore:
             raise
 
     def _newest(self, rows: DataFrame) -> DataFrame:
+        if len(rows.select("batch").distinct().take(2)) < 2:  # folder names alone; a batch has an id once
+            return rows.select(*self.schema.fieldNames())
         order = F.struct(*self.newest)
         return latest_per_id(rows.withColumn("_order", order), "_order").select(*self.schema.fieldNames())
 
@@ -140,12 +142,16 @@ class BucketedStore:
         """Append a batch: of each id its last row by `ingest_pos`, rows without an id not at all. Without a number it is one
         more than the last; a stream gives its own, so that a repeated batch counts once. One writer at a time."""
         number = self.next_batch() if batch is None else batch
-        rows = latest_per_id(incoming.select(*self.schema.fieldNames()))
+        rows = incoming.select(*self.schema.fieldNames())
+        if self.spark.conf.get("spark.sql.adaptive.enabled").lower() == "true":
+            placed = latest_per_id(rows).withColumn("id_bucket", self._bucket()).hint("rebalance", "id_bucket")
+        else:  # as in the batches of a stream, where the hint means nothing: rows move to their folders and are told apart there
+            placed = latest_per_id(rows.withColumn("id_bucket", self._bucket()).repartition("id_bucket"), by=("id_bucket", "id"))
         (
-            rows.withColumns({"of": F.lit(self.buckets), "id_bucket": self._bucket()})
-            .hint("rebalance", "id_bucket")
+            placed.withColumn("of", F.lit(self.buckets))
             .sortWithinPartitions("id_bucket", "id")
             .write.mode("overwrite")
+            .option("compression", "zstd")
             .option("parquet.bloom.filter.enabled#id", "true")
             .option("parquet.bloom.filter.adaptive.enabled", "true")
             .partitionBy("of", "id_bucket")

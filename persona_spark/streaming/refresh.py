@@ -48,6 +48,7 @@ def pending_responses(spark: SparkSession, in_dir: str, work_dir: str, files_per
     rows = reader.json(in_dir).withColumn("dump_bucket", _bucket())
     (
         rows.writeStream.format("parquet")
+        .option("compression", "zstd")
         .partitionBy("dump_bucket")
         .option("path", f"{work_dir}/responses")
         .option("checkpointLocation", f"{work_dir}/arrived")

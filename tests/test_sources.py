@@ -301,3 +301,14 @@ def test_copies_of_a_page_are_listed_once_each(rows):
     schema = "id STRING, created_time STRING, properties MAP<STRING, STRING>, persona_id BIGINT, ingest_pos BIGINT"
     pages = rows(schema, *[("a", "2025-01-02", {}, 1, i) for i in range(3)])
     assert sorted(r.display_rank for r in browse_list(pages).collect()) == [1, 2, 3]
+
+
+def test_a_batch_of_a_stream_has_a_file_per_folder(spark, tmp_path):
+    pages = [page(f"p{i}", "x") for i in range(60)]
+    for k in range(2):
+        save(tmp_path / "in", f"d{k}.json", response(k, 0, pages, False))
+    refresh_stream(spark, str(tmp_path / "in"), str(tmp_path / "s"), str(tmp_path / "c"), buckets=4).awaitTermination()
+    assert sorted(p.parent.name for p in (tmp_path / "s").rglob("*.parquet")) == [f"id_bucket={b}" for b in range(4)]
+    stored = memory_store(spark, str(tmp_path / "s"), 4).read()
+    assert "Exchange" not in stored._jdf.queryExecution().executedPlan().toString()  # one batch: each id once
+    assert sorted((r.id, int(r.ingest_pos) >> 27) for r in stored.collect()) == sorted((f"p{i}", 1) for i in range(60))
