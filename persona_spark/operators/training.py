@@ -20,6 +20,7 @@ from persona_spark.session import stage_table
 
 POSITIONS_PER_BUCKET = 65_536
 HASH_DIGITS = 4
+STEPS_PER_STRETCH = 512
 
 
 def _before(order: Column, keys: Sequence[str], amount: Column) -> Column:
@@ -184,14 +185,17 @@ def training_schedule(
     return steps.select(*keys, "epoch", "step", "micro_batch", "id")
 
 
-def run_schedules(examples: DataFrame, runs: DataFrame, keys: Sequence[str] = ("persona_id",), per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """(run_id, epoch, step, micro_batch, id) for many runs at once, each with numbers of its own.
+def shared_schedules(
+    examples: DataFrame, runs: DataFrame, keys: Sequence[str] = ("persona_id",), per_bucket: int = ROWS_PER_BUCKET
+) -> tuple[DataFrame, DataFrame]:
+    """(run_id, schedule_id, n_steps) and (schedule_id, epoch, step, micro_batch, id): runs, and the schedules they follow.
 
     `runs` has run_id, the keys of the group it learns from, and batch_size, accumulation, max_steps, num_epochs and seed; of
-    these a null or a `max_steps` below 1 means that the epochs decide, as in `runs.run_plans`. Several runs may share a
-    group. Ids of a group get dense ranks once, by prefix sums; a keyed permutation of the ranks then tells where an example
-    stands in each epoch, so nothing is sorted or moved for rows times epochs. Runs of one seed see a group in one order.
-    Ids are unique in a group; a run without examples gives nothing.
+    these a null or a `max_steps` below 1 means that the epochs decide, as in `runs.run_plans`. Runs of one group, seed,
+    batch size and accumulation share a schedule, as long as the longest of them, and follow it for their `n_steps`; it is
+    laid out once for all of them. Ids of a group get dense ranks once, by prefix sums; a keyed permutation of the ranks then
+    tells where an example stands in each epoch, so nothing is sorted or moved for rows times epochs. Schedules of one
+    seed see a group in one order. Ids are unique in a group; a run without examples gives nothing.
     """
     keys = list(keys)
     ranked = prefix_sums(examples.select(*keys, "id").withColumn("_one", F.lit(1)), keys, ["id"], "_one", "_rank", per_bucket)
@@ -200,13 +204,20 @@ def run_schedules(examples: DataFrame, runs: DataFrame, keys: Sequence[str] = ("
     settings = ["batch_size", "accumulation", "max_steps", "num_epochs", "seed"]
     asked = runs.select("run_id", *keys, *[F.col(c).cast("bigint").alias(c) for c in settings])
     sized = lookup_join(asked, sizes, keys, stage=True) if keys else asked.withColumn("n_examples", F.lit(ranked.count()).cast("bigint"))
-    plans = lookup_join(sized, run_plans(sized).withColumnRenamed("max_steps", "_most"), ["run_id"], stage=True)
-    plans = plans.where("n_examples > 0").withColumn("_of", F.lit(0))
+    plans = lookup_join(sized, run_plans(sized).withColumnRenamed("max_steps", "n_steps"), ["run_id"], stage=True)
+    own = [*keys, "batch_size", "accumulation", "seed", "n_examples", "steps_per_epoch"]
+    plans = stage_table(
+        plans.where("n_examples > 0 AND total_epochs > 0").withColumn("schedule_id", F.to_json(F.struct(*own), {"ignoreNullFields": "false"})), "plans"
+    )
+    shared = plans.groupBy("schedule_id", *own).agg(
+        F.max("n_steps").alias("_most"), F.max("total_epochs").alias("_epochs")
+    )
     on = keys or ["_of"]
-    rows = lookup_join(ranked.withColumn("_of", F.lit(0)).drop(*([] if not keys else ["_of"])), plans.drop(*(["_of"] if keys else [])), on, spread=["id"], stage=True)
-    epochs = F.sequence(F.lit(0).cast("bigint"), F.col("total_epochs") - 1)
-    seen = rows.where("total_epochs > 0").select(
-        "run_id", F.explode_outer(epochs).alias("epoch"), "id", "steps_per_epoch", "_most", "batch_size", "accumulation",
+    side = [df if keys else df.withColumn("_of", F.lit(0)) for df in (ranked, shared)]
+    rows = lookup_join(side[0], side[1], on, spread=["id"], stage=True)
+    epochs = F.sequence(F.lit(0).cast("bigint"), F.col("_epochs") - 1)
+    seen = rows.select(
+        "schedule_id", F.explode_outer(epochs).alias("epoch"), "id", "steps_per_epoch", "_most", "batch_size", "accumulation",
         "n_examples", "seed", "_rank",
     )
 
@@ -220,8 +231,30 @@ def run_schedules(examples: DataFrame, runs: DataFrame, keys: Sequence[str] = ("
     placed = seen.mapInArrow(place, T.StructType([*seen.schema.fields, T.StructField("_position", T.LongType())]))
     per_step = F.col("batch_size") * F.col("accumulation")
     step = F.col("epoch") * F.col("steps_per_epoch") + F.call_function("div", F.col("_position"), per_step)
-    return (
+    steps = (
         placed.withColumn("step", step)
         .where(F.col("step") < F.col("_most"))
-        .select("run_id", "epoch", "step", F.call_function("div", F.col("_position"), F.col("batch_size")).alias("micro_batch"), "id")
+        .select("schedule_id", "epoch", "step", F.call_function("div", F.col("_position"), F.col("batch_size")).alias("micro_batch"), "id")
     )
+    # A run sees whole epochs of its own, so what its longer neighbours see later lies behind its last step.
+    return plans.select("run_id", "schedule_id", F.least("n_steps", F.col("total_epochs") * F.col("steps_per_epoch")).alias("n_steps")), steps
+
+
+def followed(schedules: DataFrame, runs: DataFrame) -> DataFrame:
+    """Rows of shared schedules for every run that follows them: with run_id, in place of schedule_id, for the run's steps.
+
+    Both sides are cut into stretches of steps, so that a schedule that is long or has many runs is spread over tasks.
+    """
+    cut = schedules.withColumn("_stretch", whole_div(F.col("step"), STEPS_PER_STRETCH))
+    last = whole_div(F.col("n_steps") - 1, STEPS_PER_STRETCH)
+    asked = runs.where("n_steps > 0").withColumn("_stretch", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    joined = cut.join(asked, ["schedule_id", "_stretch"]).where(F.col("step") < F.col("n_steps"))
+    return joined.select("run_id", *[c for c in schedules.columns if c != "schedule_id"])
+
+
+def run_schedules(examples: DataFrame, runs: DataFrame, keys: Sequence[str] = ("persona_id",), per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """(run_id, epoch, step, micro_batch, id) for many runs at once, each with numbers of its own: `shared_schedules` told for
+    every run. That is a row per run and example; what is the same for all runs of a schedule is better worked out on
+    the schedules, and `followed` by the runs afterwards."""
+    plans, steps = shared_schedules(examples, runs, keys, per_bucket)
+    return followed(steps, plans)

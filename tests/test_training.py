@@ -203,3 +203,16 @@ def test_no_sort_of_rows_times_epochs(spark):
     runs = spark.createDataFrame([(1, 0, 4, 2, None, 5, 1)], RUNS)
     plan = training.run_schedules(df, runs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hash" not in plan and "Sort" not in plan and "Window" not in plan
+
+
+def test_runs_of_one_kind_share_a_schedule(spark):
+    _, df = examples(spark, 90)
+    runs = spark.createDataFrame([(i, 0, 2, 1, 1 + i % 5 if i % 2 else None, 1 + i % 3, 7) for i in range(300)], RUNS)
+    plans, steps = training.shared_schedules(df, runs)
+    n = df.where("persona_id = 0").count()
+    assert steps.count() == 3 * n and steps.select("schedule_id").distinct().count() == 1  # not 300 times
+    seen = {}
+    for r in training.followed(steps, plans).collect():
+        seen.setdefault(r.run_id, []).append((r.epoch, r.id, r.step, r.micro_batch))
+    assert {i: len(rows) for i, rows in seen.items()} == {i: min(n, 2 * (1 + i % 5)) if i % 2 else n * (1 + i % 3) for i in range(300)}
+    assert set(seen[4]) <= set(seen[2]) and set(seen[1]) <= set(seen[2])
