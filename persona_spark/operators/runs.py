@@ -109,7 +109,11 @@ def layered_settings(defaults: DataFrame, *layers: DataFrame) -> DataFrame:
         layer.select("run_id", "section", "key", "value", F.lit(rank).alias("_rank"))
         for rank, layer in enumerate((defaults, *layers))
     ]
-    stacked = reduce(DataFrame.unionByName, ranked)
+    return _last_of(reduce(DataFrame.unionByName, ranked))
+
+
+def _last_of(stacked: DataFrame) -> DataFrame:
+    """Of each key the row of the largest `_rank`."""
     last = F.max(F.struct("_rank", "value"))["value"]
     return stacked.groupBy("run_id", "section", "key").agg(last.alias("value"))
 
@@ -122,10 +126,13 @@ def effective_settings(settings: DataFrame, plans: DataFrame) -> DataFrame:
     runs without a plan are left out; a run counts once however often it is planned.
     """
     modes = plans.groupBy("run_id").agg(F.max("full_tuning").alias("_full"))
-    known = lookup_join(settings, modes, ["run_id"], "inner", spread=["section", "key"])
+    # No look for heavy runs first: it would make all settings once more, and the grouping below goes by key.
+    known = lookup_join(settings, modes, ["run_id"], "inner", stage=True)
     own = known.where(~(F.col("_full") & (F.col("section") == V.ADAPTER_SECTION))).drop("_full")
-    speedup = own.where(F.col("section") == V.SPEEDUP_SECTION)
-    over_training = speedup.withColumn("section", F.lit(V.TRAINING_SECTION))
+    place = F.struct(F.col("section").alias("section"), F.lit(0).alias("_rank"))
+    over_training = F.struct(F.lit(V.TRAINING_SECTION).alias("section"), F.lit(1).alias("_rank"))
+    places = F.when(F.col("section") == V.SPEEDUP_SECTION, F.array(place, over_training)).otherwise(F.array(place))
+    placed = own.select("run_id", "key", "value", F.explode_outer(places).alias("_p")).select("run_id", "_p.section", "key", "value", "_p._rank")
     names = [k for k, _ in V.ADAPTER_TAKES]
     both = (
         own.where(F.col("section").isin(V.ADAPTER_SECTION, V.SPEEDUP_SECTION))
@@ -147,8 +154,8 @@ def effective_settings(settings: DataFrame, plans: DataFrame) -> DataFrame:
     )
     over_adapter = both.select(
         "run_id", F.lit(V.ADAPTER_SECTION).alias("section"), F.explode_outer(taken).alias("_t")
-    ).select("run_id", "section", "_t.*")
-    return layered_settings(own, over_training, over_adapter)
+    ).select("run_id", "section", "_t.*", F.lit(2).alias("_rank"))
+    return _last_of(placed.unionByName(over_adapter))
 
 
 def run_plans(runs: DataFrame) -> DataFrame:

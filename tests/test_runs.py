@@ -1,3 +1,5 @@
+import pytest
+
 from persona_spark.functions import values as V
 from persona_spark.operators import runs
 
@@ -105,3 +107,16 @@ def test_plans_of_runs(rows):
     log = rows("run_id INT, step INT, loss DOUBLE, learning_rate DOUBLE", (1, 3, 0.5, 0.1), (4, 2, 0.1, 0.1), (9, 1, 0.1, 0.1))
     got = {r.run_id: (r.current_step, r.max_steps, r.current_epoch, r.total_epochs) for r in runs.run_summary(log, plans).collect()}
     assert got == {1: (3, 6, 1.5, 3), 4: (2, 60, None, None), 9: (1, None, None, None)}
+
+
+def test_effective_settings_of_many_runs_without_an_extra_pass(rows, monkeypatch):
+    """Beyond a broadcast the settings are made for what is kept and for the two sections that meet, no third time."""
+    from persona_spark import scale
+
+    monkeypatch.setattr(scale, "BROADCAST_MAX_ROWS", 0)
+    monkeypatch.setattr(scale, "PROBE_MAX_ROWS", 0)
+    monkeypatch.setattr(scale, "heavy_keys", lambda *a, **k: pytest.fail("looked through all settings"))
+    settings = rows("run_id INT, section STRING, key STRING, value STRING", (1, "unsloth", "a", "x"), (1, "training", "a", "y"), (1, None, "k", "v"), (2, "lora", "r", "1"))
+    got = runs.effective_settings(settings, rows("run_id INT, full_tuning BOOLEAN", (1, False), (2, True)))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "unsloth", "a", "x"), (1, "training", "a", "x"), (1, None, "k", "v")], key=str)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
